@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, rule_ledger, shingle_join
+from . import decontaminate, mixture, rule_ledger, secrets, shingle_join, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,6 +16,24 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (h)
+"""
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = rule_ledger.ledger(_read(spark, sf_dir, "documents"))
     kept = rule_ledger.apply_policy(led, rule_ledger.POLICIES["2024-1"])
@@ -79,6 +97,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(_read(spark, sf_dir, "documents")).drop("source")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -102,8 +124,11 @@ FROM sets JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_warc": op2_warc,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
+    "op9_source_mixture": op9_source_mixture,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_ngram_jaccard": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_quality_rules": OP7_SQL, "op8_decontamination": OP8_SQL, "op10_ngram_jaccard": OP10_SQL}
