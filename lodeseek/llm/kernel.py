@@ -30,7 +30,7 @@ _inv = np.ones(1, U64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         a, b = np.full(size, _BASE, U64), np.full(size, _INV, U64)
         a[0] = b[0] = 1
         _pow, _inv = np.cumprod(a), np.cumprod(b)
@@ -63,7 +63,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[o[0] : o[-1]], o - o[0]
 
 
-def blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about ``size`` bytes: first row, end row, bytes, offsets."""
     buf, offs = flat(texts)
     i, n = 0, len(offs) - 1
@@ -73,9 +73,9 @@ def blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.
         i = j
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the index of each text's first word (one more entry than texts)."""
-    w = ~SPACE[buf]
+def word_spans(buf: np.ndarray, offs: np.ndarray, within: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes ``within``, and the index of each text's first run (one more entry than texts)."""
+    w = within[buf]
     at = offs[:-1][offs[:-1] < offs[1:]]
     prev, nxt = np.empty_like(w), np.empty_like(w)
     if len(w):
@@ -86,12 +86,25 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
+class Spans:
+    """64-bit hashes of any byte spans of a buffer, from one prefix sum."""
+
+    def __init__(self, buf: np.ndarray):
+        p, self.q = _powers(len(buf) + 1)
+        self.h = np.zeros(len(buf) + 1, U64)
+        np.cumsum(_BYTE[buf] * p[: len(buf)], out=self.h[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.h[ends] - self.h[starts]) * self.q[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    p, q = _powers(len(buf) + 1)
-    h = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE[buf] * p[: len(buf)], out=h[1:])
-    return mix((h[ends] - h[starts]) * q[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return Spans(buf)(starts, ends)
+
+
+def hash_of(s: bytes) -> int:
+    b = np.frombuffer(s, np.uint8)
+    return int(span_hashes(b, np.array([0]), np.array([len(b)]))[0])
 
 
 def triples(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:

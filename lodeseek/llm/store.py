@@ -24,11 +24,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts stay at a few MB; the default of 10,000 rows can take hundreds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Workspace:
     """A folder of written tables that belongs to one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         atexit.register(self._at_exit)
