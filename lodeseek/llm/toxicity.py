@@ -5,11 +5,11 @@ kinds (texts are told apart by a min-hash, so copies count once) and hardly in
 others. Its terms form a trie. A word of a text matches exactly by hash; other
 words that keep a whole part of a term in place (with k edits and k + 1 parts,
 one part is untouched) are run through a Levenshtein automaton intersected with
-the trie. Each hit is weighed by its context window: quotation marks around it
-and verbs of speaking before it speak for quotation, second-person words near
-it for abuse. A logistic regression over a text's hit totals gives the score.
+the trie. Terms that clean texts often come near to are matched exactly only. Each
+hit is weighed by its context window: quotation marks around it and verbs of
+speaking before it speak for quotation, second-person words near it for abuse. A logistic regression over a text's hit totals gives the score.
 
-Labels are learned from a bounded sample, at most ``PER_LABEL`` texts of each
+Labels are learned from a bounded sample, about ``PER_LABEL`` texts of each
 label by hash order of ids, and the lexicon has at most ``MAX_TERMS`` terms.
 Scoring reads every whole text once, within its row.
 
@@ -34,17 +34,19 @@ from . import kernel as K
 from .language import held_out
 from .store import small_batches
 
-PER_LABEL, MAX_TERMS, MIN_GROUPS, MIN_PRECISION = 6000, 4000, 3, 0.9
+PER_LABEL, MAX_TERMS, MIN_GROUPS, MIN_PRECISION, MIN_G2 = 6000, 4000, 3, 0.9, 24.0
 MIN_LENGTH = 4
 #: Shortest terms that are matched within one and within two edits.
-ONE_EDIT, TWO_EDITS = 6, 9
+ONE_EDIT, TWO_EDITS = 5, 9
 WINDOW = 6
 WORD = np.isin(np.arange(256), list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")) | (np.arange(256) >= 0x80)
 #: Words that introduce quotations, and words that address a person.
 SAYING = frozenset("said says say saying wrote writes quote quoted called calls word term told reads sagte sagt schrieb wort zitat dit disait mot écrit dijo dice palabra escribió".split())
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dir dein deine ihr euch tu te toi vous votre ton tú usted ustedes vos eres".split())
+#: Share of clean training texts with a near hit from which a term is matched exactly only, and texts looked at for it.
+NEAR_CLEAN, NEAR_TEXTS = 0.002, 1500
 QUOTES = "\"'“”„«»‘’`"
-FEATURES = 5
+FEATURES = 4
 
 
 class Levenshtein:
@@ -108,10 +110,12 @@ class Lexicon:
     """Terms with weights, and the hash tables by which words of a text are preselected."""
 
     weight: dict[str, float]
+    exact_only: frozenset[str] = frozenset()
     trie: Trie = field(init=False)
 
     def __post_init__(self):
-        self.trie = Trie(list(self.weight))
+        loose = [t for t in self.weight if t not in self.exact_only and allowed_edits(t)]
+        self.trie = Trie(loose)
         pairs = sorted((K.hash_of(t.encode()), t) for t in self.weight)
         self.exact = np.array([h for h, _ in pairs], K.U64)
         self.named = [t for _, t in pairs]
@@ -119,10 +123,8 @@ class Lexicon:
         self.maybe[(self.exact & K.U64(0xFFFF)).astype(np.int64)] = True
         parts: dict[tuple[int, int, int], set[int]] = {}  # (anchor: 0 start, 1 end, 2 middle; offset; bytes) -> hashes
         lengths: dict[tuple[int, int, int], list[int]] = {}
-        for t in self.weight:
+        for t in loose:
             k = allowed_edits(t)
-            if not k:
-                continue
             cuts = [round(len(t) * i / (k + 1)) for i in range(k + 2)]
             pieces = [t[a:b].encode() for a, b in zip(cuts, cuts[1:], strict=False)]
             size = len(t.encode())
@@ -137,10 +139,10 @@ class Lexicon:
         self._seen: dict[bytes, tuple[int, str] | None] = {}
 
     def __getstate__(self):
-        return {"weight": self.weight}
+        return self.weight, self.exact_only
 
     def __setstate__(self, state):
-        self.weight = state["weight"]
+        self.weight, self.exact_only = state
         self.__post_init__()
 
     def preselect(self, spans: K.Spans, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +179,20 @@ def context(text: bytes, before: list[bytes], after: list[bytes], start: int, en
 
 
 def features(lex: Lexicon, texts: pa.Array) -> np.ndarray:
-    """texts x FEATURES: weighed exact hits, near hits, strongest hit, quoted hits, hits in address."""
+    """texts x FEATURES: weighed hits, strongest hit, quoted hits, hits in address."""
     out = np.zeros((len(texts), FEATURES))
+    for row, term, edits, quote, to in hits(lex, texts):
+        x = lex.weight[term] * (1 - 0.8 * quote) * (1 + 0.5 * to) * 0.7**edits
+        f = out[row]
+        f[0] += x
+        f[1] = max(f[1], x)
+        f[2] += quote
+        f[3] += to * (1 - quote)
+    return np.log1p(out)
+
+
+def hits(lex: Lexicon, texts: pa.Array) -> Iterator[tuple[int, str, int, float, float]]:
+    """(row, term, edits, quotation, address) of every hit."""
     for i, _, buf, offs in K.blocks(texts):
         low = K.LOWER[buf]
         s, e, first = K.word_spans(low, offs, WORD)
@@ -187,22 +201,16 @@ def features(lex: Lexicon, texts: pa.Array) -> np.ndarray:
         spans = K.Spans(low)
         exact, near = lex.preselect(spans, s, e, spans(s, e))
         raw = low.tobytes()
-        hits = [(int(w), lex.named[int(np.searchsorted(lex.exact, spans(s[w : w + 1], e[w : w + 1])[0]))], 0) for w in exact]
+        found = [(int(w), lex.named[int(np.searchsorted(lex.exact, spans(s[w : w + 1], e[w : w + 1])[0]))], 0) for w in exact]
         for w in near:
             if m := lex.near(raw[s[w] : e[w]]):
-                hits.append((int(w), m[1], m[0]))
-        for w, term, edits in hits:
+                found.append((int(w), m[1], m[0]))
+        for w, term, edits in found:
             d = int(np.searchsorted(first, w, side="right")) - 1
             lo, hi = max(int(first[d]), w - WINDOW), min(int(first[d + 1]), w + WINDOW + 1)
             o = int(offs[d])
             quote, to = context(raw[o : offs[d + 1]], [raw[s[k] : e[k]] for k in range(lo, w)], [raw[s[k] : e[k]] for k in range(w + 1, hi)], int(s[w]) - o, int(e[w]) - o)
-            x = lex.weight[term] * (1 - 0.8 * quote) * (1 + 0.5 * to) * 0.7**edits
-            f = out[i + d]
-            f[1 if edits else 0] += x
-            f[2] = max(f[2], x)
-            f[3] += quote
-            f[4] += to * (1 - quote)
-    return np.log1p(out)
+            yield i + d, term, edits, quote, to
 
 
 @dataclass
@@ -272,10 +280,24 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     seen = seen.where(F.col("t") >= max(MIN_GROUPS, n[1] // 2000))
     rate_t, rate_c = (F.col("t") + 0.5) / (n[1] + 1.0), (F.col("c") + 0.5) / (n[0] + 1.0)
     seen = seen.withColumn("p", rate_t / (rate_t + rate_c)).where(F.col("p") >= MIN_PRECISION)
+    # more than chance, among some 100,000 words that are looked at (log-likelihood ratio)
+    prior, both = n[1] / (n[0] + n[1]), F.col("t") + F.col("c")
+    g2 = 2 * (F.col("t") * F.log(F.col("t") / (both * prior)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (both * (1 - prior)))).otherwise(0.0))
+    seen = seen.where(g2 >= MIN_G2)
     terms = seen.orderBy(F.desc(F.col("t") * F.col("p")), "word").limit(MAX_TERMS).collect()
     lex = Lexicon({r["word"]: math.log(r["p"] / (1 - r["p"])) for r in terms})
     held = spark.sparkContext.broadcast(lex)
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = sorted({(row, term) for row, term, edits, _, _ in hits(held.value, b.column("text")) if edits})
+            yield pa.RecordBatch.from_arrays([pa.array([t for _, t in pairs], pa.string())], ["term"])
+
+    clean = rows.where(F.col("toxic") == 0).where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, NEAR_TEXTS / n[0])))
+    often = clean.select("text").mapInArrow(near, "term string").groupBy("term").count().where(F.col("count") > NEAR_CLEAN * min(n[0], NEAR_TEXTS)).collect()
+    lex = Lexicon(lex.weight, frozenset(r["term"] for r in often))
+    held = spark.sparkContext.broadcast(lex)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(held.value, b.column("text"))
@@ -284,8 +306,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     m = rows.select("text", "toxic").mapInArrow(measure, "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
     m = m.sort_values(list(m.columns))
     y = m["toxic"].to_numpy(float)
-    share = np.where(y == 1, 1.0, n[1] / n[0]) if n[0] > n[1] else np.ones(len(y))
-    return Model(lex, regress(m.drop(columns="toxic").to_numpy(float), y, share))
+    return Model(lex, regress(m.drop(columns="toxic").to_numpy(float), y, np.ones(len(y))))
 
 
 def detect(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0) -> DataFrame:
