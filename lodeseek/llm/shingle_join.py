@@ -144,14 +144,23 @@ def _linked(percent: int):
 
 
 def _candidates(left: DataFrame, right: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of postings (token, rep, n, level, l) that share l shingles of their l-prefixes and whose sizes and parity bitmaps allow a link."""
-    x = left.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("level").alias("va"), F.col("l").alias("la"), *[c for c in left.columns if c in ("comp", "major")])
-    y = right.select(F.col("token").alias("token_b"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("level").alias("vb"), F.col("l").alias("lb"), *[F.col(c).alias(f"{c}_b") for c in right.columns if c == "comp"])
+    """Pairs (a, b) of postings (token, rep, n, level, l) that share l shingles of their l-prefixes and whose sizes and parity bitmaps allow a link.
+
+    Postings that carry ``bits`` are compared within the join, so that pairs that can't link are never made.
+    """
+    early = "bits" in left.columns
+    x = left.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("level").alias("va"), F.col("l").alias("la"), *[c for c in left.columns if c in ("comp", "major")], *([F.col("bits").alias("ba")] if early else []))
+    y = right.select(F.col("token").alias("token_b"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("level").alias("vb"), F.col("l").alias("lb"), *[F.col(c).alias(f"{c}_b") for c in right.columns if c == "comp"], *([F.col("bits").alias("bb")] if early else []))
     on = (
         (F.col("token") == F.col("token_b")) & (F.col("a") != F.col("b"))
         & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
         & (F.greatest("va", "vb") <= F.least("la", "lb"))
     )
+    # |x ^ y| <= (100 - percent) / (100 + percent) * (|x| + |y|) for linked sets, and the bitmaps differ in no more bits
+    apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(WORDS64)), F.lit(0))
+    close = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    if early:
+        on &= close
     if "comp" in left.columns:
         on &= (F.col("comp") != F.col("comp_b")) & ((F.col("comp_b") == F.col("major")) | (F.col("a") < F.col("b")))
     p = (
@@ -159,11 +168,11 @@ def _candidates(left: DataFrame, right: DataFrame, sig: DataFrame, percent: int)
         .where("shared >= need")
     )
     p = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if early:
+        return p
     s = sig.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     t = sig.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(WORDS64)), F.lit(0))
-    # |x ^ y| <= (100 - percent) / (100 + percent) * (|x| + |y|) for linked sets, and the bitmaps differ in no more bits
-    return p.join(s, "a").join(t, "b").where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    return p.join(s, "a").join(t, "b").where(close).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, ws: Workspace | None = None, percent: int = 90, stats: dict | None = None) -> DataFrame:
@@ -181,6 +190,8 @@ def jaccard_components(docs: DataFrame, ws: Workspace | None = None, percent: in
     )
     same = ["n_shingles", "s1", "s2"]
     reps = ws.table(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min_by(F.struct("bits", "prefix"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select(*same, "rep", "x.bits", "x.prefix"), "classes")
+    keys = ws.table(signed.select("doc_id", *same), "keys")
+    ws.drop(signed)
     sig = reps.select("rep", F.col("n_shingles").alias("n"), "bits")
 
     n, pos = F.col("n"), F.col("pos")
@@ -218,21 +229,25 @@ def jaccard_components(docs: DataFrame, ws: Workspace | None = None, percent: in
         else:
             members = posts.join(comp.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
             spread = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-            members = ws.table(members.join(spread, "token"), "open")
+            opened = members = ws.table(members.join(spread, "token"), "open")
             by = F.xxhash64("rep", F.lit(r))
             pivot = members.groupBy("token").agg(F.min_by(F.struct("rep", "n", "level", "l", "comp"), F.struct(by, "rep")).alias("p")).select("token", "p.*")
             members = members.withColumn("major", F.lit(None).cast("long"))
             members = members.join(pivot.select("token", F.col("comp").alias("of_pivot")), "token").withColumn("major", F.col("of_pivot")).drop("of_pivot")
         found = verified(_candidates(members, pivot, sig, percent), f"pivot{r}")
+        if comp is not None:
+            ws.drop(opened, comp)
         edges = found if edges is None else edges.unionByName(found)
         comp = ws.table(components(edges, ws), "labels")
     members = posts.join(comp.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     spread = members.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
-    members = ws.table(members.join(spread.select("token", "major"), "token"), "open")
+    members = ws.table(members.join(spread.select("token", "major"), "token").join(sig.select("rep", "bits"), "rep"), "open")
+    ws.drop(posts)
     rest = _candidates(members.where("comp <> major"), members.drop("major"), sig, percent)
     edges = edges.unionByName(verified(rest, "rest"))
+    ws.drop(members)
     comp = ws.table(components(edges, ws), "labels")
 
     label = ws.table(reps.select(*same, "rep").join(comp.select(F.col("node").alias("rep"), "label"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("component")), "components")
-    out = signed.select("doc_id", *same).join(label, same, "left")
+    out = keys.join(label, same, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
