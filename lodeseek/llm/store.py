@@ -29,12 +29,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete a query's shuffle files when the query has ended; what later queries read is written as tables."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 class Workspace:
     """A folder of written tables that belongs to one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         small_batches(spark)
+        drop_shuffles(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         atexit.register(self._at_exit)
