@@ -82,7 +82,7 @@ def html_text(source: str) -> str:
 
 def rtf_text(source: str) -> str:
     """Plain text of an RTF document, without its tables and pictures."""
-    s = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)(?:[^{}]|\{[^{}]*\})*\}", "", source)
+    s = re.sub(r"\{\\\*?\\?(?:fonttbl|colortbl|stylesheet|info|pict)(?:[^{}]|\{[^{}]*\})*\}", " ", source)
     s = re.sub(r"\\(?:par|line)\b ?", "\n", s)
     s = re.sub(r"\\tab\b ?", "\t", s)
     s = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), s)
