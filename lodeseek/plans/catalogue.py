@@ -234,7 +234,7 @@ def _first_level(df: DataFrame, text, kind: str) -> DataFrame:
 
 @query("decode_bfs_3", """
 SELECT c_custkey, CAST(d AS INTEGER) AS depth, CASE d WHEN 0 THEN to_base64(encode(lower(hex(encode('password%3D' || md5(c_name)))))) WHEN 1 THEN lower(hex(encode('password%3D' || md5(c_name)))) WHEN 2 THEN 'password%3D' || md5(c_name) ELSE 'password=' || md5(c_name) END AS recovered,
-       CASE d WHEN 0 THEN 0.95 WHEN 1 THEN 0.89 WHEN 2 THEN 0.83 ELSE 0.77 END AS confidence
+       CAST(CASE d WHEN 0 THEN 0.95 WHEN 1 THEN 0.89 WHEN 2 THEN 0.83 ELSE 0.77 END AS DOUBLE) AS confidence
 FROM customer, (SELECT unnest([0, 1, 2, 3]) AS d)""")
 def decode_bfs_3(spark, sf):
     inner = F.concat(F.lit("password%3D"), F.md5("c_name"))
@@ -258,7 +258,7 @@ def _halves(spark, sf) -> DataFrame:
 
 
 @query("related_groups", """
-SELECT 'orders:row:' || o_orderkey AS parent, 'field-sibling' AS relation, 'row:' || o_orderkey || ':column:key_part_1|row:' || o_orderkey || ':column:key_part_2' AS members, CAST(2 AS BIGINT) AS parts, 0.95 AS confidence FROM orders""")
+SELECT 'orders:row:' || o_orderkey AS parent, 'field-sibling' AS relation, 'row:' || o_orderkey || ':column:key_part_1|row:' || o_orderkey || ':column:key_part_2' AS members, CAST(2 AS BIGINT) AS parts, CAST(0.95 AS DOUBLE) AS confidence FROM orders""")
 def related_groups(spark, sf):
     g = related.groups(_halves(spark, sf))
     return g.select("parent", "relation", F.array_join(F.transform("members", lambda m: m["location"]), "|").alias("members"), F.col("parts").cast("long").alias("parts"), F.round("confidence", 4).alias("confidence"))
@@ -358,7 +358,7 @@ def _decided(spark, sf, post_filter=True) -> DataFrame:
 
 
 _BITS = "list_aggregate(string_split(md5(CAST(o_orderkey AS VARCHAR)), ''), 'entropy')"
-_SCORE = f"least(1.0, CASE o_orderkey % 8 WHEN 5 THEN 0.2 ELSE 0.58 END + 0.048 + 0.09 + CASE WHEN {_BITS} >= 3.2 THEN 0.08 ELSE 0 END + CASE WHEN o_orderkey % 8 = 7 THEN 0.12 + 0.10 - 0.06 ELSE 0 END)"
+_SCORE = f"CAST(least(1.0, CASE o_orderkey % 8 WHEN 5 THEN 0.2 ELSE 0.58 END + 0.048 + 0.09 + CASE WHEN {_BITS} >= 3.2 THEN 0.08 ELSE 0 END + CASE WHEN o_orderkey % 8 = 7 THEN 0.12 + 0.10 - 0.06 ELSE 0 END) AS DOUBLE)"
 _STAGE_SQL = "CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(_STAGES)) + " END"
 _ACCEPTED_SQL = f"(SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS v, {_SCORE} AS score FROM orders WHERE o_orderkey % 8 >= 6)"
 
@@ -373,7 +373,7 @@ def score_breakdown(spark, sf):
     return _decided(spark, sf).select("o_orderkey", F.round("score", 4).alias("score"), "accepted")
 
 
-@query("score_without_post_filter", "SELECT o_orderkey, round(CASE WHEN o_orderkey % 8 <= 4 THEN 0 ELSE 0.65 END, 4) AS score FROM orders")
+@query("score_without_post_filter", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 8 <= 4 THEN 0 ELSE 0.65 END AS DOUBLE) AS score FROM orders")
 def score_without_post_filter(spark, sf):
     return _decided(spark, sf, False).select("o_orderkey", F.round("score", 4).alias("score"))
 
