@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as T
 from ..rules import Rule, rules_frame, to_java, to_regex
+from ..shared import checkpoint_root
 
 SPAN = "record_id string, rule_seq int, value string, location string, local_context string, depth int, trace_confidence double, steps_sha256 string"
 
@@ -78,11 +79,15 @@ def _span_finder(rules: list[Rule], config: Config, case_sensitive: bool, group_
 
 
 def extract(recovered: DataFrame, rules: list[Rule], config: Config = Config(), case_sensitive: bool = True, group_mode: str = "whole") -> tuple[DataFrame, DataFrame]:
-    """(candidates, warnings) of recovered texts. Candidates carry their record's place and their rule's constraints."""
+    """(candidates, warnings) of recovered texts. Candidates carry their record's place and their rule's constraints.
+
+    The matches are checkpointed to the shared folder: they are few, and decisions, findings, counts and warnings all read them.
+    """
     spark = recovered.sparkSession
+    checkpoint_root(spark)
     texts = recovered.where(prefilter(F.col("recovered"), rules, case_sensitive))
     texts = texts.withColumn("steps_sha256", F.sha2(F.to_json("steps"), 256))
-    spans = texts.select("record_id", "root_path", "nested_path", "location", "recovered", "depth", "trace_confidence", "steps_sha256").mapInPandas(_span_finder(rules, config, case_sensitive, group_mode), SPAN)
+    spans = texts.select("record_id", "root_path", "nested_path", "location", "recovered", "depth", "trace_confidence", "steps_sha256").mapInPandas(_span_finder(rules, config, case_sensitive, group_mode), SPAN).checkpoint()
     frame = F.broadcast(rules_frame(spark, rules).withColumnRenamed("seq", "rule_seq").drop("pattern", "pattern_sha256"))  # a few hundred rows
     c = spans.join(frame, "rule_seq")
     late = c.where("value is null").select(F.lit("rule_runtime_error").alias("code"), F.col("rule_id").alias("path"), F.col("location").alias("message"))
