@@ -42,7 +42,7 @@ from .language import held_out
 from .store import Workspace
 
 DEPTH = 5
-HOT = 1 << 20
+HOT = 1 << 18
 #: Contexts of up to this depth are weighted on the driver, deeper ones where their grams are.
 SHALLOW = 2
 GRAMS_PER_TASK = 400_000
@@ -252,7 +252,9 @@ def train(words: DataFrame, ends: int, ws: Workspace) -> DataFrame:
             lp = log10_probability(code, [*held.value, *deep])
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64)), pa.array(lp)], ["code", "c", "lp"])
 
-    return ws.table(dealt.mapInArrow(score, "code long, c long, lp double"), "code-lengths")
+    out = ws.table(dealt.mapInArrow(score, "code long, c long, lp double"), "code-lengths")
+    held.destroy()
+    return out
 
 
 @dataclass
@@ -271,8 +273,16 @@ class Table:
 
 
 def _hot(df: DataFrame, key: str, *values: str, n: int) -> Table:
-    p = df.select(key, *dict.fromkeys(["c", *values])).orderBy(F.desc("c"), key).limit(n).toPandas().sort_values(key)
-    return Table(p[key].to_numpy(), [p[v].to_numpy() for v in values])
+    """At most ``n`` entries: all those whose count is above the least one that keeps to ``n``."""
+    held, least = 0, None
+    for c, k in sorted(((r["c"], r["k"]) for r in df.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.desc("c")).limit(n).collect()), reverse=True):
+        if held + k > n:
+            break
+        held, least = held + k, c
+    p = df.where(F.col("c") >= least if least is not None else F.lit(False)).select(key, *values).toArrow()
+    p = {c: p.column(c).to_numpy() for c in (key, *values)}
+    order = np.argsort(p[key])
+    return Table(p[key][order], [p[v][order] for v in values])
 
 
 def word_scores(words: DataFrame, lengths: DataFrame, ws: Workspace, hot: int = HOT) -> DataFrame:
@@ -294,6 +304,7 @@ def word_scores(words: DataFrame, lengths: DataFrame, ws: Workspace, hot: int =
             yield pa.RecordBatch.from_arrays([pa.array(h), b.column("c"), pa.array(part), rare], ["h", "c", "part", "rare"])
 
     w = ws.table(words.select("word", "c").mapInArrow(sums, "h long, c long, part double, rare array<long>"), "word-parts")
+    held.destroy()
     rest = w.where("size(rare) > 0").select("h", F.explode("rare").alias("code")).join(lengths.select("code", "lp"), "code").select("h", F.lit(0).cast("long").alias("c"), "lp")
     both = w.select("h", "c", F.col("part").alias("lp")).unionByName(rest)
     return ws.table(both.groupBy("h").agg(F.max("c").alias("c"), F.sum("lp").alias("lp")), "words")
@@ -340,6 +351,7 @@ def score(docs: DataFrame, ws: Workspace | None = None, modulus: int = 7, rest:
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, lp double, rare array<long>"
     t = ws.table(d.mapInArrow(sums, schema), "texts")
+    held.destroy()
     cold = t.where("size(rare) > 0").select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
     base = F.log10((F.col("c") + 1.0) / (n + v + 1.0))
     cold = cold.join(scored, "h").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k1"), F.sum(base * F.col("k")).alias("b1"), F.sum(F.col("lp") * F.col("k")).alias("l1"))
