@@ -8,8 +8,10 @@ rarest terms meet is a candidate. Candidates are then compared with the
 document's own words in full, so results are exact phrases.
 
 Terms and windows of the test set are broadcast only while their number is
-under ``SMALL``; beyond it the same joins shuffle on the term, and adaptive
-skew joins split frequent ones.
+under ``SMALL``; a posting then keeps the words around it, which the comparison
+needs. Beyond that number the same joins shuffle bare postings on the term,
+adaptive skew joins split frequent ones, and the candidates' texts are read
+again.
 
 Edge cases. Null texts have no words. An item shorter than a window is one
 window; an item without words matches nothing. Rows that repeat an id are
@@ -49,10 +51,18 @@ def windows(items: DataFrame, size: int = 10) -> DataFrame:
     return w.select("item_id", "start", F.slice("w", F.col("start") + 1, F.lit(size)).alias("phrase"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """term, doc_id, pos: the positional index of ``docs`` for the rows of ``terms`` (term)."""
-    p = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return p.join(F.broadcast(terms) if small else terms, "term").select("term", "doc_id", "pos")
+def postings(docs: DataFrame, terms: DataFrame, small: bool, around: int = 0) -> DataFrame:
+    """term, doc_id, pos: the positional index of ``docs`` for the rows of ``terms`` (term).
+
+    With ``around``, also ``near``, the words from ``around`` before to ``around`` after the position, and ``near_at``, the place of their first.
+    """
+    if not around:
+        p = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+        return p.join(F.broadcast(terms) if small else terms, "term").select("term", "doc_id", "pos")
+    p = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    start = F.greatest(F.col("pos") - around, F.lit(0))
+    p = p.join(F.broadcast(terms), "term")
+    return p.select("term", "doc_id", "pos", start.alias("near_at"), F.slice("w", start + 1, F.lit(2 * around + 1)).alias("near"))
 
 
 def plan(wins: DataFrame, docs: DataFrame, small: bool, rarest: int = RAREST) -> DataFrame:
@@ -69,28 +79,35 @@ def plan(wins: DataFrame, docs: DataFrame, small: bool, rarest: int = RAREST) ->
     return t.select("phrase", "lists", F.explode("rare").alias("r")).select("phrase", "lists", "r.term", "r.offset")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, ws: Workspace, size: int = 10) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, ws: Workspace, size: int = 10, small: bool | None = None) -> DataFrame:
     """doc_id, item_id, start, at, len: each place where a window of an item occurs, from word ``at`` of the document."""
     docs = docs.select(F.col("doc_id"), F.col("text"))
     wins = ws.table(windows(items.select("item_id", "text"), size), "windows")
-    small = wins.count() <= SMALL
+    small = wins.count() <= SMALL if small is None else small
+    side = F.broadcast if small else lambda df: df
     lists = ws.table(plan(wins, docs, small), "plan")
-    index = ws.table(postings(docs, lists.select("term").distinct(), small), "index")
-    shifted = index.join(F.broadcast(lists) if small else lists, "term").select("doc_id", "phrase", "lists", (F.col("pos") - F.col("offset")).alias("at"))
-    met = shifted.where("at >= 0").groupBy("doc_id", "phrase", "at").agg(F.count("*").alias("met"), F.first("lists").alias("lists"))
-    met = ws.table(met.where("met >= lists").select("doc_id", "phrase", "at"), "candidates")
-    found = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = found.select("doc_id", words(F.col("text")).alias("w")).join(met, "doc_id")
-    full = full.where(F.slice("w", F.col("at") + 1, F.size("phrase")) == F.col("phrase")).select("doc_id", "phrase", "at").distinct()
-    full = full.join(F.broadcast(wins) if small else wins, "phrase")
+    index = ws.table(postings(docs, lists.select("term").distinct(), small, size - 1 if small else 0), "index")
+    shifted = index.join(side(lists), "term").withColumn("at", F.col("pos") - F.col("offset")).where("at >= 0")
+    count, lists_ = F.count("*").alias("met"), F.first("lists").alias("lists")
+    key = ["doc_id", "phrase", "at"]
+    if small:
+        same = F.slice("near", F.col("at") - F.col("near_at") + 1, F.size("phrase")) == F.col("phrase")
+        # compared before the lists meet: what is shuffled then are occurrences only
+        full = shifted.where(same).groupBy(*key).agg(count, lists_).where("met >= lists").select(*key)
+    else:
+        met = ws.table(shifted.groupBy(*key).agg(count, lists_).where("met >= lists").select(*key), "candidates")
+        found = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+        full = found.select("doc_id", words(F.col("text")).alias("w")).join(met, "doc_id")
+        full = full.where(F.slice("w", F.col("at") + 1, F.size("phrase")) == F.col("phrase")).select(*key).distinct()
+    full = full.join(side(wins), "phrase")
     return ws.table(full.select("doc_id", "item_id", "start", "at", F.size("phrase").alias("len")), "occurrences")
 
 
-def contamination(docs: DataFrame, items: DataFrame, ws: Workspace | None = None, size: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, ws: Workspace | None = None, size: int = 10, small: bool | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
     ws = ws or Workspace(docs.sparkSession, "decontaminate")
     docs = docs.select("doc_id", "text")
-    occ = occurrences(docs, items, ws, size)
+    occ = occurrences(docs, items, ws, size, small)
     hit = occ.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("p")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     named = occ.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     both = hit.join(named, "doc_id", "left")

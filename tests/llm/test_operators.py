@@ -175,7 +175,8 @@ def test_quality_rules(spark):
         assert a.kept_without - kept == a.fails_alone
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_decontamination(spark, small):
     rng = random.Random(11)
     texts = mixed_texts(13, 40)
     long = [WORD.findall(t) for t in texts if t and len(t) > 200]
@@ -187,7 +188,7 @@ def test_decontamination(spark):
         for s in range(max(1, len(w) - 9) if w else 0):
             wins[tuple(w[s : s + 10])].add(i)
     docs = frame(spark, texts)
-    got = decontaminate.contamination(docs, spark.createDataFrame(rows, "item_id long, text string").withColumn("phrase", F.lit(1))).collect()
+    got = decontaminate.contamination(docs, spark.createDataFrame(rows, "item_id long, text string").withColumn("phrase", F.lit(1)), small=small).collect()
     assert len(got) == docs.count()
     found = {r.doc_id: r for r in got}
     assert sum(r.contaminated for r in got) > 3
