@@ -58,8 +58,8 @@ def ocr_lines(words: DataFrame, *line: str) -> DataFrame:
     Words are set apart where the gap to the word before is over 2 and over 0.35 of the line's upper median height.
     """
     w = W.partitionBy(*line).orderBy("ord", "left", "width", "height")
-    x = words.withColumn("_gap", F.col("left") - F.lag(F.col("left") + F.col("width")).over(w))
-    member = F.struct("ord", "left", "width", "height", "word", "_gap")
+    x = words.withColumns({"_n": F.row_number().over(w), "_gap": F.col("left") - F.lag(F.col("left") + F.col("width")).over(w)})
+    member = F.struct("_n", "word", "_gap")
     g = x.groupBy(*line).agg(
         F.sort_array(F.collect_list("height")).alias("_hs"), F.sort_array(F.collect_list(member)).alias("_ws"), F.min("left").alias("box_left"), F.min("top").alias("box_top"), F.max(F.col("left") + F.col("width")).alias("_r"), F.max(F.col("top") + F.col("height")).alias("_b"), F.avg("conf").alias("conf"),
     )

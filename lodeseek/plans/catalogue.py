@@ -64,9 +64,10 @@ def keyword_mode(spark, sf):
     return o.select("o_orderkey", extract.prefilter(F.col("v"), rule).alias("cs"), extract.prefilter(F.col("v"), rule, False).alias("ci"))
 
 
-@query("generic_extract", r"""SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:api[_-]?key|access[_-]?token|auth[_-]?token|secret[_-]?key|password)\s*[:=]\s*["'']?([A-Za-z0-9_./+\-=]{12,512})', 1)) AS value FROM documents""")
+@query("generic_extract", r"""SELECT doc_id, unnest(regexp_extract_all(text || ' Api-Key : "' || md5(CAST(doc_id AS VARCHAR)) || '"', '(?i)(?:api[_-]?key|access[_-]?token|auth[_-]?token|secret[_-]?key|password)\s*[:=]\s*["'']?([A-Za-z0-9_./+\-=]{12,512})', 1)) AS value FROM documents""")
 def generic_extract(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(extract.values(F.col("text"), BY_ID["generic_assignment"])).alias("value"))
+    planted = F.concat("text", F.lit(' Api-Key : "'), F.md5(F.col("doc_id").cast("string")), F.lit('"'))
+    return table(spark, sf, "documents").select("doc_id", F.explode(extract.values(planted, BY_ID["generic_assignment"])).alias("value"))
 
 
 @query("entropy_gate", "SELECT c_custkey, round(list_aggregate(string_split(md5(c_name), ''), 'entropy'), 4) AS bits FROM customer WHERE round(list_aggregate(string_split(md5(c_name), ''), 'entropy'), 4) >= 3.2")
@@ -272,8 +273,8 @@ def fragment_concat(spark, sf):
 @query("ocr_lines", """
 WITH w AS (SELECT l_orderkey, l_linenumber AS ord, CAST(l_linenumber * 40 + l_suppkey % 5 AS INTEGER) AS lft, CAST(10 + l_partkey % 30 AS INTEGER) AS width, CAST(10 + l_quantity AS INTEGER) AS height, 'w' || l_linenumber AS word, l_tax * 100 AS conf FROM lineitem),
 h AS (SELECT l_orderkey, greatest(2.0, list_sort(list(height))[len(list(height)) // 2 + 1] * 0.35) AS least FROM w GROUP BY 1),
-g AS (SELECT w.*, lft - lag(lft + width) OVER (PARTITION BY l_orderkey ORDER BY ord, lft, width, height) AS gap FROM w)
-SELECT l_orderkey, string_agg(CASE WHEN gap > least THEN ' ' ELSE '' END || word, '' ORDER BY ord, lft, width, height) AS text, min(lft) AS box_left, max(lft + width) - min(lft) AS box_width, CAST(max(5 + height) - 5 AS INTEGER) AS box_height, round(avg(conf), 4) AS conf
+g AS (SELECT w.*, row_number() OVER o AS n, lft - lag(lft + width) OVER o AS gap FROM w WINDOW o AS (PARTITION BY l_orderkey ORDER BY ord, lft, width, height))
+SELECT l_orderkey, string_agg(CASE WHEN gap > least THEN ' ' ELSE '' END || word, '' ORDER BY n) AS text, min(lft) AS box_left, max(lft + width) - min(lft) AS box_width, CAST(max(5 + height) - 5 AS INTEGER) AS box_height, round(avg(conf), 4) AS conf
 FROM g JOIN h USING (l_orderkey) GROUP BY l_orderkey""")
 def ocr_lines(spark, sf):
     w = table(spark, sf, "lineitem").select(
