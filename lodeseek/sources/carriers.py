@@ -26,10 +26,12 @@ from xml.etree import ElementTree
 from ..config import Limits
 from ..functions.encoding import infer
 
+# --- fixed values: archive kinds, places of embedded files, runs that count as strings ---
 ARCHIVES = ("zip", "tar", "gzip", "7z", "rar", "rpm", "iso", "jar", "apk")
 EMBEDS = ("media/", "embeddings/", "pictures/", "objectreplacements/")
 CARVED = ((re.compile(rb"[\x20-\x7e]{6,}"), "ascii", "ascii", 0.8), (re.compile(rb"(?:[\x20-\x7e]\x00){6,}"), "utf16", "utf-16-le", 0.75), (re.compile(rb"(?:\x00[\x20-\x7e]){6,}"), "utf16be", "utf-16-be", 0.75))
 EXECUTABLE = {"elf": "ELF", "pe": "PE", "mach-o": "Mach-O", "wasm": "WASM"}
+# --- end of fixed values ---
 
 
 @dataclass
