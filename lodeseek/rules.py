@@ -53,6 +53,7 @@ CORE_RULES = (
     Rule("generic_assignment", "Generic Sensitive Assignment", r"""(?i)(?:api[_-]?key|access[_-]?token|auth[_-]?token|secret[_-]?key|password)\s*[:=]\s*["']?([A-Za-z0-9_./+\-=]{12,512})""", 12, 512, secret_group=1, base_score=0.45, require_positive_context=True, literals=(":", "=")),
 )
 SNAPSHOT_BASE_SCORE, SNAPSHOT_PRIORITY = 0.58, 50
+CHECKED_SNAPSHOT_PREFIX = "github-"  # snapshot rules whose values carry the CRC-32 suffix
 # --- end of fixed values ---
 
 
@@ -77,7 +78,8 @@ def to_java(pattern: str) -> str:
 def load_snapshot(path: str, provider: str = SNAPSHOT) -> list[Rule]:
     """Rules of a TOML file with ``[[rules]]`` (id, description, regex, keywords, entropy, secretGroup, allowlists) and a global ``[allowlist]``.
 
-    Allow-lists are alternatives throughout, and the global one applies to every rule. Rules without a pattern are left out.
+    Allow-lists are alternatives throughout, and the global one applies to every rule. Rules without a pattern are left out;
+    rules for GitHub tokens are checked by their CRC-32 suffix.
     """
     with open(path, "rb") as f:
         data = tomllib.load(f)
@@ -88,11 +90,13 @@ def load_snapshot(path: str, provider: str = SNAPSHOT) -> list[Rule]:
             continue
         own = r.get("allowlists") or ([r["allowlist"]] if r.get("allowlist") else [])
         lists = [*shared, *own]
+        checked = r["id"].startswith(CHECKED_SNAPSHOT_PREFIX)
         out.append(
             Rule(
                 r["id"], r.get("description", r["id"]), r["regex"], secret_group=int(r.get("secretGroup", 0)), base_score=SNAPSHOT_BASE_SCORE, entropy=r.get("entropy"),
                 keywords=tuple(r.get("keywords", ())), allow_regexes=tuple((a.get("regexTarget", "secret"), p) for a in lists for p in a.get("regexes", ())),
-                allow_paths=tuple(p for a in lists for p in a.get("paths", ())), stopwords=tuple(s for a in lists for s in a.get("stopwords", ())), provider=provider, priority=SNAPSHOT_PRIORITY,
+                allow_paths=tuple(p for a in lists for p in a.get("paths", ())), stopwords=tuple(dict.fromkeys([*r.get("stopwords", ()), *(s for a in lists for s in a.get("stopwords", ()))])),
+                checksum=CRC_BASE62 if checked else None, format_version="checksum-v1" if checked else None, provider=provider, priority=SNAPSHOT_PRIORITY,
             )
         )
     return out

@@ -127,15 +127,16 @@ def test_plan_rules():
 
 def test_snapshot_and_audit(spark, tmp_path):
     path = tmp_path / "rules.toml"
-    path.write_text('[allowlist]\npaths = ["\\\\.png$"]\n[[rules]]\nid = "a"\ndescription = "A"\nregex = "key-[0-9]{4}\\\\z"\nkeywords = ["key-"]\n[[rules.allowlists]]\nstopwords = ["0000"]\n[[rules]]\nid = "only-path"\npath = "x"\n')
+    path.write_text('[allowlist]\npaths = ["\\\\.png$"]\n[[rules]]\nid = "a"\ndescription = "A"\nregex = "key-[0-9]{4}\\\\z"\nkeywords = ["key-"]\n[[rules.allowlists]]\nstopwords = ["0000"]\n[[rules]]\nid = "only-path"\npath = "x"\n[[rules]]\nid = "github-x"\nregex = "ghx"\nstopwords = ["s"]\n')
     rules = load_snapshot(str(path))
-    assert [r.id for r in rules] == ["a"] and rules[0].allow_paths and rules[0].stopwords == ("0000",)
+    assert [r.id for r in rules] == ["a", "github-x"] and rules[0].allow_paths and rules[0].stopwords == ("0000",)
+    assert rules[1].checksum and rules[1].stopwords == ("s",) and rules[1].allow_paths and not rules[0].checksum
     registry = Registry()
     registry.add("snapshot", lambda: rules)
     with pytest.raises(ValueError):
         registry.add("snapshot", lambda: rules)
     a = audit(spark, registry.load())
-    assert a["rules_by_provider"] == {"core": 9, "snapshot": 1} and a["compile_errors"] == [] and a["conflicts"] == []
+    assert a["rules_by_provider"] == {"core": 9, "snapshot": 2} and a["compile_errors"] == [] and a["conflicts"] == []
     assert rules_frame(spark, registry.load()).first()["rule_id"] == "aws_access_key_id"
 
 
