@@ -163,11 +163,9 @@ def _candidates(left: DataFrame, right: DataFrame, sig: DataFrame, percent: int)
         on &= close
     if "comp" in left.columns:
         on &= (F.col("comp") != F.col("comp_b")) & ((F.col("comp_b") == F.col("major")) | (F.col("a") < F.col("b")))
-    p = (
-        x.join(y, on).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("la", "lb")).alias("need"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .where("shared >= need")
-    )
-    p = p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a pair may be met as (a, b) in one list and as (b, a) in another; all its shared shingles are counted together
+    p = x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("la", "lb").alias("need"))
+    p = p.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
     if early:
         return p
     s = sig.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))

@@ -133,6 +133,33 @@ def test_jaccard_hot_groups(spark):
     assert {r.doc_id: r.component_id for r in shingle_join.jaccard_components(docs).collect()} == {k: root(k) for k in range(len(sets))}
 
 
+def test_jaccard_groups_of_several_components(spark):
+    """Chains of edited copies that the pivot rounds leave in several components find the components of all pairs."""
+    rng, texts, edges = random.Random(23), [], []
+    for g in range(400):
+        n, group = rng.randint(22, 82), []
+        group.append([f"g{g}w{rng.randrange(10**6)}" for _ in range(n)])
+        for _ in range(rng.randint(10, 30)):
+            t = list(rng.choice(group))
+            for _ in range(rng.choice([1, 1, 2])):
+                t[rng.choice([rng.randrange(n), rng.choice([0, 1, n - 1, n - 2])])] = f"g{g}v{rng.randrange(10**6)}"
+            group.append(t)
+        rng.shuffle(group)
+        sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) for w in group]
+        edges += [(len(texts) + b, len(texts) + a) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+        texts += [" ".join(w) for w in group]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingle_join.jaccard_components(docs).collect()} == {k: root(k) for k in range(len(texts))}
+
+
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).limit(0)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
