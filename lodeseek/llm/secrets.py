@@ -6,8 +6,9 @@
 window slides over it, character counts are updated by the byte that leaves
 and the byte that enters, and windows whose Shannon entropy reaches the bound
 of their character class (hexadecimal, one-case, mixed-case) are joined to
-spans of kind ``entropy``, unless an allow-list entry explains the string or a
-base span overlaps it.
+spans of kind ``entropy``. Windows that overlap a base span or a match of the
+allow-list are left out, the rest of the string is kept; what stands before
+the string may explain all of it.
 
 All of it is computed within a row, so nothing is shuffled. Offsets are code
 points, ends exclusive.
@@ -41,7 +42,13 @@ HEX_BITS, CASE_BITS, MIXED_BITS = 3.0, 3.6, 3.8
 #: Strings that look random but name or number public things.
 ALLOWED = (
     re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(rb"(?i)sha(1|224|256|384|512)[-:=]?"),
+    re.compile(
+        rb"(?i)sha(?:"
+        + b"|".join(
+            b"%d[-:=]?(?:(?:[0-9a-f]{%d}|[a-z0-9+/_-]{%d}={0,2})(?![a-z0-9+/_=-]))?" % (bits, size * 2, -(-size * 4 // 3)) for bits, size in ((1, 20), (224, 28), (256, 32), (384, 48), (512, 64))
+        )
+        + rb")"
+    ),
     re.compile(rb"(?i)example|dummy|placeholder|changeme|sample|redacted"),
     re.compile(rb"(?i)0123456789|1234567890|abcdefghij|qwerty"),
     re.compile(rb"(.{1,4}?)\1{4,}"),
@@ -98,8 +105,15 @@ def entropy_windows(s: bytes, window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def allowed(s: bytes, before: bytes) -> bool:
-    return any(p.search(s) for p in ALLOWED) or bool(BEFORE.search(before))
+def unexplained(s: bytes, base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of ``s`` between its base spans and the matches of the allow-list."""
+    at = 0
+    for a, b in sorted([*base, *(m.span() for p in ALLOWED for m in p.finditer(s))]):
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    if at < len(s):
+        yield at, len(s)
 
 
 def _runs(mask: np.ndarray, offs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +162,11 @@ def find(texts: pa.Array) -> Iterator[list[tuple[int, int, int]]]:
             for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True):
                 d = doc(a)
                 o = int(offs[d])
-                base = [x for x in found.get(d, []) if x[1] < 3 and x[0] < b - o and a - o < x[2]]
-                if base or allowed(data[a:b], data[max(o, a - 200) : a]):
+                if BEFORE.search(data[max(o, a - 200) : a]):
                     continue
-                found.setdefault(d, []).extend((a - o + x, 3, a - o + y) for x, y in entropy_windows(data[a:b]))
+                base = [(x[0] - (a - o), x[2] - (a - o)) for x in found.get(d, []) if x[1] < 3 and x[0] < b - o and a - o < x[2]]
+                for u, v in unexplained(data[a:b], base):
+                    found.setdefault(d, []).extend((a - o + u + x, 3, a - o + u + y) for x, y in entropy_windows(data[a + u : a + v]))
         for d in range(n):
             spans = found.get(d)
             if not spans:

@@ -258,6 +258,17 @@ def test_secrets(spark):
     assert secrets.scan(secrets.redact(docs)).where("n_assign + n_access + n_hex > 0").count() == 0
 
 
+def test_secrets_beside_explained_parts():
+    key = "9aZ3xQ7pL2vB8nM4tR6wY1cK5dH0jFsG"
+    texts = [f"-----{key}", f"======{key}", f"sample_{key}", f"PATH=/opt/sample/{key}", f"{key}/" + "0123456789abcdef" * 2]
+    quiet = ["id 123e4567-e89b-12d3-a456-426614174000", "sha256-" + "47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", f"https://x.com/{key}", f"token={key}"]
+    got = list(secrets.find(pa.array(texts + quiet)))
+    for t, spans in zip(texts, got, strict=False):
+        at = t.index(key)
+        assert {p for a, k, b in spans if k == 3 for p in range(a, b)} >= set(range(at, at + len(key))), t
+    assert not any(k == 3 for spans in got[len(texts) :] for _, k, _ in spans)
+
+
 def test_entropy_windows():
     rng = random.Random(4)
     for _ in range(200):
