@@ -1,6 +1,7 @@
 """Localization, recovery, extraction, verification and evaluation end to end."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +177,22 @@ def test_row_order_does_not_matter(spark):
 def test_verify_context(spark):
     d = verify.decide(catalogue._decided(spark, "/root/testdata/sf0.001").drop("stage", "score", "accepted", "fingerprint", "positive", "negative", "value_entropy"))
     assert {r["stage"] for r in d.select("stage").distinct().collect()} == {"hard:length", "hard:prefix", "hard:checksum", "hard:placeholder", "hard:required-context", "score", "accepted"}
+
+
+def test_stream_takes_the_context_of_each_match(spark, tmp_path):
+    """An assignment late in a long text is judged by the words around it, as the batch scan does."""
+    from lodeseek.streaming import scan_stream
+
+    late = "x y z " * 1000 + "😀 production credential password = 'Zq8rT2mV5xK9pL3w' " + "x y z " * 1000
+    far = "production credential " + "x y z " * 100 + "secret_key = 'Hn4bW7cJ1sD6gF0y'"
+    texts = spark.createDataFrame([("late", late), ("far", far)], "name string, t string").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    texts.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(texts.schema).parquet(f"{tmp_path}/in")
+    found = scan_stream.findings(stream, F.lit("root"), F.col("name"), F.col("t"), "at")
+    q = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert "late" in {r.nested_path for r in spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect()}
+    got = texts.select(F.col("name"), F.explode(scan_stream._hits(F.col("t"), CORE_RULES[-1], 8)).alias("h")).select("name", "h.*").collect()
+    pattern = re.compile(CORE_RULES[-1].pattern)
+    want = [(n, m[1], t[max(0, m.start() - 120) : m.end() + 120]) for n, t in (("late", late), ("far", far)) for m in pattern.finditer(t)]
+    assert sorted((r.name, r.value, r.context) for r in got) == sorted(want) and len(want) == 2
