@@ -16,7 +16,9 @@ from ..functions import text as T
 from ..rules import Rule, rules_frame, to_java, to_regex
 from ..shared import checkpoint_root
 
-SPAN = "record_id string, rule_seq int, value string, location string, local_context string, depth int, trace_confidence double, steps_sha256 string"
+#: What a record hands on to its candidates.
+PLACE = ("record_id", "root_path", "nested_path", "carrier_type", "record_context", "relationship", "field_path", "depth", "trace_confidence", "steps_sha256")
+SPAN = "record_id string, root_path string, nested_path string, carrier_type string, record_context string, relationship string, field_path string, depth int, trace_confidence double, steps_sha256 string, rule_seq int, value string, location string, local_context string"
 
 
 def prefilter(text: Column, rules: list[Rule], case_sensitive: bool = True) -> Column:
@@ -54,6 +56,7 @@ def _span_finder(rules: list[Rule], config: Config, case_sensitive: bool, group_
             rows = []
             for x in b.itertuples(index=False):
                 text, path = x.recovered, f"{x.root_path}!/{x.nested_path}"
+                place = tuple(getattr(x, c) for c in PLACE)
                 low = None if case_sensitive else text.lower()
                 for k, r, pattern, allow, paths, stop in compiled:
                     if r.keywords and not any(w in text if case_sensitive else w.lower() in low for w in r.keywords):
@@ -61,18 +64,19 @@ def _span_finder(rules: list[Rule], config: Config, case_sensitive: bool, group_
                     try:
                         found = []
                         for m in pattern.finditer(text, timeout=seconds):
-                            found.append(m)
                             if len(found) == limits.max_rule_matches:
+                                rows.append((*place, k, None, f"more than {limits.max_rule_matches} matches", None))
                                 break
+                            found.append(m)
                     except TimeoutError:
-                        rows.append((x.record_id, k, None, "regex timeout", None, x.depth, x.trace_confidence, None))
+                        rows.append((*place, k, None, "regex timeout", None))
                         continue
                     for m in found:
                         g = r.secret_group or (1 if group_mode == "first_group" and m.re.groups else 0)
                         value = m[g]
                         if value is None or allowed(value, m[0], path, allow, paths, stop):
                             continue
-                        rows.append((x.record_id, k, value, f"{x.location}@{m.start(g)}:{m.end(g)}", text[max(0, m.start() - 120) : m.end() + 120], x.depth, x.trace_confidence, x.steps_sha256))
+                        rows.append((*place, k, value, f"{x.location}@{m.start(g)}:{m.end(g)}", text[max(0, m.start() - 120) : m.end() + 120]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPAN.split(", ")])
 
     return run
@@ -86,15 +90,13 @@ def extract(recovered: DataFrame, rules: list[Rule], config: Config = Config(),
     spark = recovered.sparkSession
     checkpoint_root(spark)
     texts = recovered.where(prefilter(F.col("recovered"), rules, case_sensitive))
-    texts = texts.withColumn("steps_sha256", F.sha2(F.to_json("steps"), 256))
-    spans = texts.select("record_id", "root_path", "nested_path", "location", "recovered", "depth", "trace_confidence", "steps_sha256").mapInPandas(_span_finder(rules, config, case_sensitive, group_mode), SPAN).checkpoint()
+    texts = texts.withColumns({"steps_sha256": F.sha2(F.to_json("steps"), 256), "record_context": F.col("context")})
+    spans = texts.select(*PLACE, "location", "recovered").mapInPandas(_span_finder(rules, config, case_sensitive, group_mode), SPAN).checkpoint()
     frame = F.broadcast(rules_frame(spark, rules).withColumnRenamed("seq", "rule_seq").drop("pattern", "pattern_sha256"))  # a few hundred rows
     c = spans.join(frame, "rule_seq")
-    late = c.where("value is null").select(F.lit("rule_runtime_error").alias("code"), F.col("rule_id").alias("path"), F.col("location").alias("message"))
+    late = c.where("value is null").select(F.lit("rule_runtime_error").alias("code"), F.col("rule_id").alias("path"), F.concat_ws(": ", "nested_path", "location").alias("message"))
     c = c.where("value is not null").where(F.col("entropy").isNull() | (T.entropy(F.col("value")) >= F.col("entropy")))
-    # the rule's text fields go with the candidate, so that it can be verified by itself
-    place = recovered.select("record_id", "root_path", "nested_path", "carrier_type", F.col("context").alias("record_context"), "relationship", "field_path").distinct()
-    c = c.join(place, "record_id")
+    # the record's place and the rule's constraints go with the candidate, so that it can be verified by itself
     context = F.concat_ws(" ", F.nullif("record_context", F.lit("")), F.nullif("local_context", F.lit("")))
     relation = F.coalesce("relationship", F.when(F.col("field_path") != "", "field"))
     return c.withColumns({"context": context, "field_relation": relation, "location_key": F.concat_ws("\0", "root_path", "nested_path", "location")}).drop("record_context", "local_context", "relationship", "field_path"), late

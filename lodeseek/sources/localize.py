@@ -3,11 +3,15 @@
 Objects are expanded level by level (archives in archives). A level is one
 Arrow-batched pass whose rows are a tagged union of records, children and
 warnings, written to the shared checkpoint folder; the next level reads the
-children from there. The expanded-size budget holds for each root.
+children from there. The expanded-size budget holds for each root over all
+levels: children are admitted in order of their paths while their sizes fit,
+and every child beyond it is a warning. Sums are taken over paths and sizes, so
+contents are never moved.
 """
 
 from __future__ import annotations
 
+import os
 from collections import namedtuple
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +39,17 @@ _Object = namedtuple("_Object", [c.split()[0] for c in OBJECT.split(", ")])
 
 
 def files(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
-    """Objects of all files below a path, and warnings for files over the size limit (which are not read)."""
+    """Objects of all files below a path, and warnings: files over the size limit (which are not read), a missing target, a link.
+
+    A target that is a link of the local file system is not followed.
+    """
+    warning = lambda code, message: spark.createDataFrame([(code, path, message)], "code string, path string, message string")
+    none = spark.createDataFrame([], OBJECT)
+    if os.path.islink(path.removeprefix("file://")):
+        return none, warning("symlink_skipped", "links are not followed")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return none, warning("target_not_found", "there is no such file or folder")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     small = raw.where(F.col("length") <= limits.max_object_size)
@@ -91,16 +105,23 @@ def _expand(limits: Limits, disabled: frozenset[str]):
 def localize(objects: DataFrame, limits: Limits = Limits(), disabled: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, objects, warnings) of ``objects`` and everything nested in them, to the depth limit."""
     checkpoint_root(objects.sparkSession)
-    levels, frontier = [], objects.select(*_Object._fields)
+    levels, frontier, used = [], objects.select(*_Object._fields), None
     for _ in range(limits.max_depth + 2):
-        found = frontier.mapInArrow(_expand(limits, disabled), FOUND).checkpoint()
-        levels.append(found.drop("data"))
+        found = frontier.mapInArrow(_expand(limits, disabled), FOUND).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+        levels.append(found.drop("data", "row"))
         frontier = found.where("tag = 'child'")
-        spent = F.sum("size").over(W.partitionBy("root_path").orderBy("nested_path"))
-        frontier = frontier.withColumn("spent", spent).where(F.col("spent") <= limits.max_expanded_size).select("root_path", "nested_path", "name", "depth", "parent_id", "data")
         if frontier.isEmpty():
             break
-    found = reduce(DataFrame.unionByName, levels)
+        children = frontier.select("row", "root_path", "nested_path", "size").withColumn("spent", F.sum("size").over(W.partitionBy("root_path").orderBy("nested_path", "row")))
+        if used is not None:
+            children = children.join(used, "root_path", "left").withColumn("spent", F.col("spent") + F.coalesce("used", F.lit(0))).drop("used")
+        children = children.checkpoint()
+        beyond = children.where(F.col("spent") > limits.max_expanded_size)
+        levels.append(beyond.select("root_path", "nested_path", F.lit("warning").alias("tag"), F.lit("expanded_size_limit").alias("code"), F.lit("object is not read").alias("message")))
+        frontier = frontier.join(beyond.select("row"), "row", "left_anti").select(*_Object._fields)
+        now = children.where(F.col("spent") <= limits.max_expanded_size).groupBy("root_path").agg(F.max("spent").alias("used"))
+        used = now if used is None else used.unionByName(now).groupBy("root_path").agg(F.max("used").alias("used"))
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels)
     records = found.where("tag = 'record'").withColumns(
         {
             "record_id": record_id(F.col("root_path"), F.col("nested_path"), F.col("location")),
