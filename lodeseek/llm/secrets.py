@@ -55,13 +55,15 @@ ALLOWED = (
     re.compile(rb"^[0-9]+([-/_=.+][0-9]+)*$"),
     re.compile(rb"^([a-zA-Z]+|[0-9]{1,8})([-/_=.+]+([a-zA-Z]+|[0-9]{1,8}))+$"),
 )
-#: What may stand before a candidate and explain it.
-BEFORE = re.compile(rb"(?i)(https?:/*|www\.|[a-z0-9-]\.(com|org|net)/?|data:[a-z/+.-]+;base64,)[^\s\"'<>]*$")
+#: What may stand in the unbroken string before a candidate and explain it, and the bytes that break strings.
+BEFORE = tuple(re.compile(p, re.I) for p in (rb"https?:", rb"www\.", rb"[a-z0-9-]\.(?:com|org|net)", rb"data:[a-z/+.-]+;base64,"))
+BREAKS = b" \t\n\x0b\x0c\r\"'<>"
 
 _is = lambda chars: np.isin(np.arange(256), list(chars))
 HEX, DIGIT = _is(b"0123456789abcdef"), _is(b"0123456789")
 LETTER = _is(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 TOKEN = HEX | LETTER | _is(b"+/=_-")
+BREAK = _is(BREAKS)
 _CLOGC = [0.0] + [c * log2(c) for c in range(1, WINDOW + 2)]
 
 
@@ -159,10 +161,16 @@ def find(texts: pa.Array) -> Iterator[list[tuple[int, int, int]]]:
         if len(s):
             digits, letters = np.concatenate([[0], np.cumsum(DIGIT[buf])]), np.concatenate([[0], np.cumsum(LETTER[buf])])
             pick = (digits[e] - digits[s] >= 2) & (letters[e] - letters[s] >= 2)
+            breaks = np.flatnonzero(BREAK[buf])
+            explained: dict[int, int] = {}  # unbroken string -> where its first explanation ends
             for a, b in zip(s[pick].tolist(), e[pick].tolist(), strict=True):
                 d = doc(a)
                 o = int(offs[d])
-                if BEFORE.search(data[max(o, a - 200) : a]):
+                k = int(np.searchsorted(breaks, a))
+                begin, end = max(o, int(breaks[k - 1]) + 1 if k else 0), min(int(offs[d + 1]), int(breaks[k]) if k < len(breaks) else len(data))
+                if begin not in explained:
+                    explained[begin] = min((m.end() for p in BEFORE if (m := p.search(data, begin, end))), default=len(data) + 1)
+                if explained[begin] <= a:
                     continue
                 base = [(x[0] - (a - o), x[2] - (a - o)) for x in found.get(d, []) if x[1] < 3 and x[0] < b - o and a - o < x[2]]
                 for u, v in unexplained(data[a:b], base):
