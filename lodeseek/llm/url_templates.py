@@ -3,10 +3,12 @@
 Paths form a tree under each host. Level by level, children that look alike
 (numbers, hashes, dates, numbered files) and occur in at least two values
 become one wildcard, and so do thin crowds of different literals. Sibling
-branches that differ in one literal and whose labelled block rates agree by a
-chi-square bound are merged. A template is rejected if its smoothed block rate
-over labelled urls is high; templates without labels stay at the prior and are
-allowed. Labels are the urls that explicit rules decide.
+branches are templates that differ in one literal. If the labelled block rates
+of those with enough labels agree by a chi-square bound, all siblings, those
+with few labels or none included, are merged. A template is rejected if its
+smoothed block rate over labelled urls is high; templates without labels of
+their own or of merged siblings stay at the prior and are allowed. Labels are
+the urls that explicit rules decide.
 
 Counts are combined before every shuffle and no pairs of branches are built:
 the chi-square of a family needs sums only, so a host with a third of all urls
@@ -106,12 +108,14 @@ def purities(labelled: DataFrame) -> DataFrame:
     segs = F.split("template", "/")
     # the family of each literal position: the template with a gap there
     family = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda p: F.array_join(F.transform("s", lambda x, i: F.when(i == p, F.lit("?")).otherwise(x)), "/"))
-    kin = t.where(F.col("m") >= MERGE_LABELS).withColumn("s", segs).where("size(s) > 1").select("host", "template", "b", "m", F.explode(F.array_distinct(family)).alias("family"))
-    sums = kin.groupBy("host", "family").agg(F.count("*").alias("k"), F.sum("b").alias("kin_b"), F.sum("m").alias("kin_m"), F.sum(F.col("b") * F.col("b") / F.col("m")).alias("q"))
+    kin = t.withColumn("s", segs).where("size(s) > 1").select("host", "template", "b", "m", F.explode(F.array_distinct(family)).alias("family"))
+    sums = kin.where(F.col("m") >= MERGE_LABELS).groupBy("host", "family").agg(F.count("*").alias("k"), F.sum("b").alias("kin_b"), F.sum("m").alias("kin_m"), F.sum(F.col("b") * F.col("b") / F.col("m")).alias("q"))
     rate = F.col("kin_b") / F.col("kin_m")
     spread = F.when((F.col("kin_b") == 0) | (F.col("kin_b") == F.col("kin_m")), 0.0).otherwise((F.col("q") - F.col("kin_b") * rate) / (rate * (1 - rate)))
     bound = (F.col("k") - 1) + 2 * F.sqrt(2.0 * (F.col("k") - 1))
     alike = sums.where((F.col("k") > 1) & (spread <= bound)).select("host", "family", "kin_b", "kin_m")
+    # a sibling with a few labels joins only if they don't contradict the family's
+    kin = kin.where((F.col("m") >= MERGE_LABELS) | (F.col("m") == 0))
     merged = kin.join(alike, ["host", "family"]).groupBy("host", "template").agg(F.max_by(F.struct("kin_b", "kin_m"), F.struct("kin_m", "family")).alias("f"))
     t = t.join(merged, ["host", "template"], "left")
     b, m = F.coalesce("f.kin_b", "b"), F.coalesce("f.kin_m", "m")
