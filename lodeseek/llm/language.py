@@ -36,6 +36,8 @@ FEATURES = 1 << FEATURES_LOG2
 PER_CLASS, MAX_CLASSES, LANDMARKS = 400, 200, 128
 RIDGE = 1e-2
 UND = "und"
+#: A name for columns within the operator that no table is taken to have.
+FRESH = "lodeseek_"
 _ASCII_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
@@ -124,15 +126,17 @@ def learn(docs: DataFrame, per_class: int = PER_CLASS) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (with text), lang_pred and score."""
+    """The columns ``keep`` of ``docs`` (with text), lang_pred and score; ``keep`` must not hold these two names."""
     small_batches(docs.sparkSession)
+    if clash := {c.lower() for c in keep} & {"lang_pred", "score"}:
+        raise ValueError(f"columns {sorted(clash)} are named like results; use spoken() or rename them")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
             names, scores = [], []
-            texts = b.column("_text")
+            texts = b.column(len(keep))
             for i, _, buf, offs in K.blocks(texts):
                 s = model.scores(presence(buf, offs)) if model else None
                 for r in range(len(offs) - 1):
@@ -144,13 +148,22 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                         k = int(s[r].argmax())
                         names.append(model.languages[k])
                         scores.append(float(s[r, k]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    d = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
+    quoted = ["`" + c.replace("`", "``") + "`" for c in keep]
+    d = docs.select(*quoted, F.col("text").cast("string").alias(FRESH))
+    schema = ", ".join(f"{q} {f.dataType.simpleString()}" for q, f in zip(quoted, d.schema.fields, strict=False))
     return d.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def spoken(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` (text, any further columns) whose language can be told, with the columns that they have."""
+    names = [f"{FRESH}{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    d = docs.toDF(*names).withColumn("text", F.col(names[at]))
+    return predict(d, model, *names).where(F.col("lang_pred") != UND).select(*names).toDF(*docs.columns)
+
+
 def identify(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), modulus, rest))
