@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .language import held_out
-from .store import small_batches
+from .store import Workspace, small_batches
 
 PER_LABEL, MAX_TERMS, MIN_GROUPS, MIN_PRECISION, MIN_G2 = 6000, 4000, 3, 0.9, 24.0
 MIN_LENGTH = 4
@@ -272,6 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     share = F.when(F.col("toxic") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
     picked = known.where(at < share)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = Workspace(spark, "toxicity").table(rows, "sample")  # a bounded number of texts that four passes read
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
