@@ -155,7 +155,10 @@ def ascii_carve(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(raw, F.lit(r"[\x20-\x7e]{6,}"), F.lit(0))).alias("run"))
 
 
-@query("html_text")
+@query("html_text", """
+WITH t AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(replace(html, '"</p>"', '"' || chr(1) || '"'), '<[^>]*>'), lambda t: trim(t, ' ' || chr(9) || chr(10) || chr(13))), lambda t: t <> '') AS p FROM pages),
+u AS (SELECT page_id, replace(replace(replace(array_to_string(p, ' '), chr(1), '</p>'), '&copy;', chr(169)), '&middot;', chr(183)) AS t FROM t)
+SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '&amp', '&') AS text FROM u""")
 def html_records(spark, sf):
     to_text = F.pandas_udf(_page_text, "string")
     return table(spark, sf, "pages").select("page_id", to_text("html").alias("text"))
