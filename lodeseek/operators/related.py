@@ -16,33 +16,58 @@ from ..functions.plan_decode import strict
 
 # --- fixed values ---
 PART_FIELD = r"(?i)(?:part|chunk|segment|prefix|suffix)[_-]?(?:\d+)?$"
+VALUE = (12, 512)  # characters of a value that is joined from fragments
 # --- end of fixed values ---
 
 
-def groups(records: DataFrame, compat: bool = False) -> DataFrame:
+def _named(records: DataFrame, compat: bool) -> DataFrame:
+    """``records`` with the key of their group: _root, _parent, _relation."""
+    r = records if compat else records.where("location <> 'document'")
+    parent = F.coalesce(F.nullif("grp", F.lit("")), "parent_id", "nested_path")
+    relation = F.coalesce(F.nullif("relationship", F.lit("")), F.when(F.col("field_path") != "", "field-sibling").otherwise("position-neighbor"))
+    return r.withColumns({"_root": F.col("root_path"), "_parent": parent, "_relation": relation})
+
+
+KEY = ("_root", "_parent", "_relation")
+
+
+def _group_id():
+    return F.concat(F.lit("G:"), F.substring(F.sha2(F.concat_ws("\0", *KEY), 256), 1, 16))
+
+
+def groups(records: DataFrame, compat: bool = False, of: DataFrame | None = None) -> DataFrame:
     """Groups of two or more records with one parent and relation, members in natural order.
 
     group_id, root_path, parent, relation, members array<struct<key, record_id, location, text, context, ...>>, parts, confidence. A text's whole
-    ``document`` record is left out unless ``compat``. Groups are siblings within one row, page or object.
+    ``document`` record is left out unless ``compat``. Groups are siblings within one row, page or object; ``of`` (group_id) names the only ones that are wanted.
     """
-    r = records if compat else records.where("location <> 'document'")
-    parent = F.coalesce(F.nullif("grp", F.lit("")), "parent_id", "nested_path")
-    relation = F.coalesce(F.nullif("relationship", F.lit("")), F.when(F.col("field_path") != "", "field-sibling").otherwise("position-neighbor"))
+    r = _named(records, compat)
+    if of is not None:
+        r = r.withColumn("group_id", _group_id()).join(of.select("group_id").distinct(), "group_id", "left_semi")
     key = T.natural_key(F.coalesce(F.nullif("field_path", F.lit("")), "location"))
     member = F.struct(key.alias("key"), "record_id", "location", "text", "context", "confidence", "nested_path", F.coalesce("parent_id", F.lit("")).alias("parent_id"))
     part = F.when(F.col("field_path").rlike(PART_FIELD), 1).otherwise(0)
-    g = r.groupBy("root_path", parent.alias("parent"), relation.alias("relation")).agg(
+    g = r.groupBy(*KEY).agg(
         F.sort_array(F.collect_list(member)).alias("members"), F.sum(part).alias("parts"), F.min("confidence").alias("low"), F.count_distinct(F.coalesce("parent_id", F.lit(""))).alias("parents"), F.count_distinct("nested_path").alias("places"), F.count("*").alias("n"),
     )
     g = g.where((F.col("n") >= 2) & ((F.col("parts") > 0) | ((F.col("parents") == 1) & (F.col("places") == 1))))
-    digest = F.sha2(F.concat_ws("\0", "root_path", "parent", "relation"), 256)
-    return g.select(F.concat(F.lit("G:"), F.substring(digest, 1, 16)).alias("group_id"), "root_path", "parent", "relation", "members", "parts", (F.col("low") * F.when(F.col("parts") > 0, 0.95).otherwise(0.80)).alias("confidence"))
+    return g.select(_group_id().alias("group_id"), F.col("_root").alias("root_path"), F.col("_parent").alias("parent"), F.col("_relation").alias("relation"), "members", "parts", (F.col("low") * F.when(F.col("parts") > 0, 0.95).otherwise(0.80)).alias("confidence"))
+
+
+def fragmented(records: DataFrame, compat: bool = False) -> DataFrame:
+    """The records of groups that ``fragments`` can join: every text is a usable fragment, and together they are of a value's length.
+
+    Sizes are summed before anything is gathered, so that only short groups are ever collected into rows.
+    """
+    r = _named(records, compat).withColumn("_atom", T.fragment_atom(F.col("text")))
+    short = r.groupBy(*KEY).agg(F.every(F.col("_atom").isNotNull()).alias("usable"), F.sum(F.length("_atom")).alias("size")).where("usable").where(F.col("size").between(*VALUE)).select(*KEY)
+    return r.where("_atom is not null").join(short, [*KEY], "left_semi").select(*records.columns)
 
 
 def fragments(g: DataFrame) -> DataFrame:
     """Records of values joined from groups whose members are all usable fragments, 12 to 512 characters long."""
     atoms = F.transform("members", lambda m: T.fragment_atom(m["text"]))
-    g = g.withColumn("atoms", atoms).where(F.forall("atoms", lambda a: a.isNotNull())).withColumn("value", F.array_join("atoms", "")).where(F.length("value").between(12, 512))
+    g = g.withColumn("atoms", atoms).where(F.forall("atoms", lambda a: a.isNotNull())).withColumn("value", F.array_join("atoms", "")).where(F.length("value").between(*VALUE))
     null = F.lit(None).cast("string")
     return g.select(
         F.concat(F.lit("F:"), "group_id").alias("record_id"), "root_path", F.col("members")[0]["nested_path"].alias("nested_path"), F.lit("related-group").alias("carrier_type"),

@@ -39,12 +39,12 @@ def scan(records: DataFrame, rules: list[Rule] | None = None, config: Config = C
     texts = recover.recover(records, rules, config, switches.get("recovery", True))
     found, late = extract.extract(texts, rules, config, case_sensitive, group_mode)
     if switches.get("recovery", True):
-        g = related.groups(records)
-        parts = related.fragments(g)
+        parts = related.fragments(related.groups(related.fragmented(records)))
         whole = recover.recover(parts, rules, config, False)
         more, late2 = extract.extract(whole, rules, config, case_sensitive, group_mode)
         found, late = found.unionByName(more), late.unionByName(late2)
         if proposed is not None:
+            g = related.groups(records, of=proposed)
             p = related.plans(g, proposed, config)
             late = late.unionByName(p.where("error is not null").select(F.lit("recovery_plan_rejected").alias("code"), F.col("group_id").alias("path"), F.col("error").alias("message")))
             synthetic = p.where("value is not null").join(g.drop("confidence"), "group_id").withColumns({"text": F.col("value")})
