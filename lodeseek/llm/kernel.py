@@ -107,20 +107,25 @@ def hash_of(s: bytes) -> int:
     return int(span_hashes(b, np.array([0]), np.array([len(b)]))[0])
 
 
-def triples(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each text, the hashes of its distinct 3-word shingles, ascending; with one or two words the whole
+def shingles(words: np.ndarray, first: np.ndarray, size: int = 3) -> list[np.ndarray]:
+    """For each text, the hashes of its distinct shingles of ``size`` words, ascending; with fewer words the whole
     sequence is one shingle, without words there is none."""
-    n = np.diff(first)
-    if len(words) >= 3:
-        a = mix(words[:-2] * U64(3) + mix(words[1:-1] * U64(5) + mix(words[2:] * U64(7))))
+    a = np.zeros(0, U64)
+    if len(words) >= size:
+        a = words[: len(words) - size + 1] * U64(3)
+        for k in range(1, size):
+            a = mix(a + words[k : len(words) - size + 1 + k] * U64(2 * k + 3))
     out = []
-    for f, k in zip(first[:-1].tolist(), n.tolist(), strict=True):
-        if k >= 3:
-            out.append(np.unique(a[f : f + k - 2]))
-        elif k == 2:
-            out.append(mix(words[f : f + 1] * U64(11) + mix(words[f + 1 : f + 2] * U64(13))))
+    for f, k in zip(first[:-1].tolist(), np.diff(first).tolist(), strict=True):
+        if k >= size:
+            out.append(np.unique(a[f : f + k - size + 1]))
+        elif k:
+            x = words[f : f + 1] * U64(0x51)
+            for j in range(f + 1, f + k):
+                x = mix(x + words[j : j + 1] * U64(0x53))
+            out.append(mix(x + U64(k)))
         else:
-            out.append(mix(words[f : f + k] * U64(17)))
+            out.append(words[f:f])
     return out
 
 
