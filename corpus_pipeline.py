@@ -1,15 +1,16 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 1. language: documents whose language can't be told (``und``: no text or no letters) go.
-2. near_duplicates: of each group of linked documents the one with the smallest id stays.
+2. near_duplicates: of each group of linked documents one, that with the smallest id, stays.
 3. decontamination: documents that hold a window of a benchmark item go.
 4. secrets: secrets in texts are replaced by ``[REDACTED]`` and ``n_chars`` follows.
 5. mixture: what is left is mixed to the source weights; the result says how many words of each document the mix takes.
 
-All but the last return the columns of ``documents``. Rows with a null id can't
-be referred to by the joins of stages 2 and 3 and pass through them; rows that
-repeat an id are one document and stay or go together. An empty table passes
-through every stage.
+Near duplicates are texts whose sets of 5-word shingles are alike by 80 % or
+more. All but the last return the columns of ``documents``, whatever further
+columns these hold. Every row is judged by its own text: null ids and ids that
+several rows share are no reason to keep or drop one. Of rows that repeat an id
+and a text one stays. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -23,23 +24,15 @@ from lodeseek.llm.store import Workspace
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn = docs.where(~language.held_out(F.col("doc_id").cast("long"), 4, 2))
-    judged = language.predict(docs, language.learn(learn), *docs.columns)
-    return judged.where(F.col("lang_pred") != language.UND).select(*docs.columns)
+    return language.spoken(docs, language.learn(learn))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "near-duplicates")
-    found = shingle_join.jaccard_components(docs, ws)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return shingle_join.deduplicated(docs, Workspace(spark, "near-duplicates"), percent=80, size=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ws = Workspace(spark, "decontamination")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate.occurrences(docs, items, ws).select("doc_id").distinct()
-    # the list of ids grows with the corpus: one plan at every size, instead of a broadcast while the list happens to be short
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Workspace(spark, "decontamination"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
