@@ -106,10 +106,22 @@ named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
 ),
-n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits GROUP BY doc_id)
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits GROUP BY doc_id),
+dw AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM d),
+df AS (SELECT term, count(*) AS df FROM dw GROUP BY term),
+it AS (SELECT DISTINCT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, w FROM b WHERE len(w) > 0)),
+ranked AS (SELECT i, item_id, term, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY i ORDER BY coalesce(df, 0), term) - 1 AS rank FROM it LEFT JOIN df USING (term)),
+rare AS (SELECT *, max(rank) OVER (PARTITION BY i) + 1 AS lists, min(df) OVER (PARTITION BY i) AS least FROM ranked WHERE rank < {decontaminate.NEAR_TERMS}),
+seen AS (SELECT doc_id, i, item_id, rank, lists, p FROM rare JOIN dw USING (term) WHERE least > 0),
+near AS (
+  SELECT a.doc_id, a.item_id FROM seen a JOIN seen b ON a.doc_id = b.doc_id AND a.i = b.i AND a.rank = 0 AND abs(b.p - a.p) <= {decontaminate.NEAR_SPAN}
+  GROUP BY a.doc_id, a.i, a.item_id, a.p, a.lists HAVING count(DISTINCT b.rank) = a.lists
+),
+nn AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 
