@@ -26,9 +26,10 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Arrow batches of whole texts stay at a few MB; the default of 10,000 rows can take hundreds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def drop_shuffles(spark: SparkSession) -> None:
