@@ -1,23 +1,23 @@
 """Language-model scoring by context-tree weighting.
 
-A text is its tokens: lower-cased (A-Z) words, then one end. A word is coded as
-its bytes and a closing space, the end as one newline byte; the context of a
-byte is the up to ``DEPTH`` bytes before it in the word, padded with spaces.
-Every byte is decomposed into eight binary decisions, each with a context tree
-of its own. A node's Krichevsky-Trofimov estimate P_e and its children give
-P_w = P_e / 2 + (product of the children's P_w) / 2, so every node stops with
-the posterior weight P_e / (2 P_w); a bit's probability mixes the estimates of
-all depths by these weights, down to the deepest context that training saw.
-
-Since contexts end at the word, everything follows from counts. Words are
-counted over all training texts; distinct words give counts of (context, byte)
-grams; trees are weighted from the leaves up, dealt by the three nearest
-context bytes, and the depths above these are finished on the driver, where
-they have at most 256 * 256 * 255 nodes by construction. Grams get their code
-lengths, words the sums over their grams, texts the sums over their words. In both sums
-the ``HOT`` most frequent entries are broadcast, which is a fixed size, and all
-others are joined by key, so no frequent key is ever shuffled and nothing is
-left out. Words are looked up by 64-bit hashes.
+A text is its tokens: lower-cased (A-Z) words, each closed by a space, then one
+end, coded as a newline. The context of a byte is the ``DEPTH`` bytes before it
+in this stream, across words; before a text stand newlines. Every byte is
+decomposed into eight binary decisions, each with a context tree of its own. A
+node's Krichevsky-Trofimov estimate P_e and its children give P_w = P_e / 2 +
+(product of the children's P_w) / 2, so every node stops with the posterior
+weight P_e / (2 P_w); a bit's probability mixes the estimates of all depths by
+these weights, down to the deepest context that training saw.
+
+All follows from counts of (context, byte) grams, which grow with the input.
+Tasks merge the grams of their texts before the shuffle; trees are weighted
+from the leaves up, dealt by the three nearest context bytes, and the depths
+above these are finished on the driver, where they have at most 256 * 256 * 255
+nodes by construction. Every gram gets its code length, and texts are summed:
+the most frequent grams (``HOT_GRAMS``) and words (``HOT_WORDS``, for the base
+score) are broadcast, which is a fixed size, and all others are joined by key,
+so no frequent key is ever shuffled and nothing is left out. Words are counted
+and looked up by 64-bit hashes.
 
 Edge cases. Null texts are empty: one end token. Null ids belong to the
 training part. Without training texts every probability is that of an empty
@@ -41,11 +41,13 @@ from . import kernel as K
 from .language import held_out
 from .store import Workspace
 
-DEPTH = 5
-HOT = 1 << 18
+DEPTH = 6
+HOT_WORDS, HOT_GRAMS = 1 << 18, 1 << 21
 #: Contexts of up to this depth are weighted on the driver, deeper ones where their grams are.
 SHALLOW = 2
-GRAMS_PER_TASK = 400_000
+GRAMS_PER_TASK = 250_000
+#: Bytes of text whose grams are sorted at once, and different grams that a task merges before it hands them on.
+RUN_BYTES, MERGED = 1 << 20, 2_000_000
 END = 0x0A
 _HALF = log(0.5)
 _LGAMMA = np.array([lgamma(x / 2) if x else 0.0 for x in range(2, 4096)])  # index x - 2
@@ -143,60 +145,97 @@ def log10_probability(code: np.ndarray, levels: list[Nodes], total: int = DEPTH)
     return out
 
 
-def grams(words: pa.Array, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all grams of the words, in order, and the number of each word's grams."""
-    buf, offs = K.flat(words)
-    size = np.diff(offs)
-    each = size + depth + 1
-    ends = np.cumsum(each)
-    p = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.int64)
-    first = ends - each
-    where = np.repeat(first + depth - offs[:-1], size) + np.arange(len(buf))
-    p[where] = buf
-    within = np.arange(len(p)) - np.repeat(first, each)
-    at = np.flatnonzero(within >= depth)
-    code = np.zeros(len(at), np.int64)
+def stream(buf: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all grams of the texts with words buf[s:e], in order, the number of each text's grams, and the text of each gram.
+
+    A code holds the ``depth`` context bytes, nearest first, and the byte.
+    """
+    size, texts = e - s, len(first) - 1
+    ends = np.concatenate([[0], np.cumsum(size + 1)])
+    each = np.diff(ends[first]) + 1
+    base = np.cumsum(each + depth) - each  # of each text, behind the newlines before it
+    out = np.full(int(each.sum()) + depth * texts, 0x20, np.int64)
+    of_word = np.repeat(np.arange(texts), np.diff(first))
+    to = base[of_word] + ends[:-1] - ends[first][of_word]
+    out[np.repeat(to - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = buf[np.repeat(s - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    body = np.ones(len(out), bool)
+    pads = (base[:, None] - np.arange(1, depth + 1)).ravel()
+    body[pads] = False
+    out[pads] = out[base + each - 1] = END
+    code = np.zeros(len(out), np.int64)
     for k in range(1, depth + 1):
-        code = (code << 8) | p[at - k]
-    return (code << 8) | p[at], size + 1
+        code <<= 8
+        code[depth:] |= out[depth - k : len(out) - k]
+    code <<= 8
+    code |= out
+    return code[body], each, np.repeat(np.arange(texts), each)
+
+
+def _distinct(code: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending different codes and the sums of their counts (1 each by default)."""
+    if count is None:
+        code = np.sort(code)
+        at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        return code[at], np.diff(np.append(at, len(code)))
+    order = np.argsort(code)
+    code, count = code[order], count[order]
+    at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[at], np.add.reduceat(count, at) if len(at) else count
+
 
+class _Merged:
+    """Codes and counts of many runs, merged when what is new outweighs what is merged."""
 
-def end_gram(depth: int = DEPTH) -> int:
-    code = 0
-    for _ in range(depth):
-        code = (code << 8) | 0x20
-    return (code << 8) | END
+    def __init__(self):
+        self.code, self.count, self.new, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
+    def add(self, code: np.ndarray, count: np.ndarray) -> None:
+        self.new.append((code, count))
+        self.size += len(code)
+        if self.size > max(len(self.code), MERGED // 4):
+            self.merge()
 
-def _gather(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
-    """The byte spans as a string array."""
-    size = e - s
-    offs = np.zeros(len(s) + 1, np.int32)
-    np.cumsum(size, out=offs[1:])
-    data = buf[np.repeat(s - offs[:-1], size) + np.arange(offs[-1])]
-    return pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(data))])
+    def merge(self) -> None:
+        both = [(self.code, self.count), *self.new]
+        self.code, self.count = _distinct(np.concatenate([c for c, _ in both]), np.concatenate([n for _, n in both]))
+        self.new, self.size = [], 0
 
+    def take(self, names: list[str]) -> pa.RecordBatch:
+        self.merge()
+        out = pa.RecordBatch.from_arrays([pa.array(self.code), pa.array(self.count)], names)
+        self.__init__()
+        return out
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, c: words of runs of texts with their numbers in training texts."""
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """code, c: the grams of runs of texts with their numbers in training texts."""
+    held = _Merged()
     for b in batches:
         train = b.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, buf, offs in K.blocks(b.column("text"), 1 << 20):
+        for i, j, buf, offs in K.blocks(b.column("text"), RUN_BYTES):
             low = K.LOWER[buf]
-            s, e, first = K.word_spans(low, offs)
-            if not len(s):
-                continue
-            _, at, back = np.unique(K.span_hashes(low, s, e), return_index=True, return_inverse=True)
-            c = np.bincount(back, np.repeat(train[i:j], np.diff(first)).astype(float), len(at)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_gather(low, s[at], e[at]), pa.array(c)], ["word", "c"])
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            code, _, of = stream(low, *K.word_spans(low, offs))
+            learnt = train[i:j][of]
+            held.add(*_distinct(code[learnt]))
+            if not learnt.all():
+                unseen, _ = _distinct(code[~learnt])
+                held.add(unseen, np.zeros(len(unseen), np.int64))
+            if len(held.code) >= MERGED:
+                yield held.take(["code", "c"])
+    yield held.take(["code", "c"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, c: hashes of the words of training texts with their numbers."""
+    held = _Merged()
     for b in batches:
-        code, n = grams(b.column("word"))
-        u, back = np.unique(code, return_inverse=True)
-        c = np.bincount(back, np.repeat(b.column("c").to_numpy(), n).astype(float), len(u)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["code", "c"])
+        for _, _, buf, offs in K.blocks(b.column("text"), RUN_BYTES):
+            low = K.LOWER[buf]
+            s, e, _ = K.word_spans(low, offs)
+            held.add(*_distinct(K.signed(K.span_hashes(low, s, e))))
+            if len(held.code) >= MERGED:
+                yield held.take(["h", "c"])
+    yield held.take(["h", "c"])
 
 
 def _all(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -234,13 +273,11 @@ def shallow_levels(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.nd
     return levels
 
 
-def train(words: DataFrame, ends: int, ws: Workspace) -> DataFrame:
-    """code, c, lp for every gram of ``words`` (word, c): lp is the log10 probability of the gram's byte; ``ends`` counts end tokens."""
-    spark = words.sparkSession
-    end = spark.createDataFrame([(end_gram(), ends)], "code long, c long")
-    g = ws.table(words.select("word", "c").mapInArrow(_gram_counts, "code long, c long").unionByName(end).groupBy("code").agg(F.sum("c").alias("c")), "grams")
-    parts = max(1, -(-g.count() // GRAMS_PER_TASK))
-    dealt = g.repartition(parts, F.shiftright("code", 8 * (DEPTH - SHALLOW)))
+def train(grams: DataFrame, ws: Workspace) -> DataFrame:
+    """code, c, lp for every row of ``grams`` (code, c): lp is the log10 probability of the gram's byte."""
+    spark = grams.sparkSession
+    parts = max(1, -(-grams.count() // GRAMS_PER_TASK))
+    dealt = grams.repartition(parts, F.shiftright("code", 8 * (DEPTH - SHALLOW)))
     top = dealt.mapInArrow(_shallow, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toPandas().sort_values("key")
     held = spark.sparkContext.broadcast(shallow_levels(*(top[c].to_numpy() for c in ("key", "n0", "n1", "below"))))
 
@@ -285,79 +322,66 @@ def _hot(df: DataFrame, key: str, *values: str, n: int) -> Table:
     return Table(p[key][order], [p[v][order] for v in values])
 
 
-def word_scores(words: DataFrame, lengths: DataFrame, ws: Workspace, hot: int = HOT) -> DataFrame:
-    """h, c, lp for every word: its hash, count and log10 probability."""
-    held = words.sparkSession.sparkContext.broadcast(_hot(lengths, "code", "lp", n=hot))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = held.value
-        for b in batches:
-            code, n = grams(b.column("word"))
-            buf, offs = K.flat(b.column("word"))
-            h = K.signed(K.span_hashes(buf, offs[:-1], offs[1:]))
-            of, at = np.repeat(np.arange(len(n)), n), t.find(code)
-            got = np.where(at >= 0, t.values[0][at], 0.0) if len(t.key) else np.zeros(len(code))
-            part = np.bincount(of, got, len(n))
-            rest = [code[k] for k in np.split(np.flatnonzero(at < 0), np.searchsorted(of[at < 0], np.arange(1, len(n))))] if len(n) else []
-            offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rest) if rest else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("c"), pa.array(part), rare], ["h", "c", "part", "rare"])
-
-    w = ws.table(words.select("word", "c").mapInArrow(sums, "h long, c long, part double, rare array<long>"), "word-parts")
-    held.destroy()
-    rest = w.where("size(rare) > 0").select("h", F.explode("rare").alias("code")).join(lengths.select("code", "lp"), "code").select("h", F.lit(0).cast("long").alias("c"), "lp")
-    both = w.select("h", "c", F.col("part").alias("lp")).unionByName(rest)
-    return ws.table(both.groupBy("h").agg(F.max("c").alias("c"), F.sum("lp").alias("lp")), "words")
-
-
-def score(docs: DataFrame, ws: Workspace | None = None, modulus: int = 7, rest: int = 2, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, ws: Workspace | None = None, modulus: int = 7, rest: int = 2, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs`` (doc_id, text)."""
     spark, ws = docs.sparkSession, ws or Workspace(docs.sparkSession, "context-tree")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id"), modulus, rest))
-    counted = d.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    words = ws.table(counted, "counts")
-    total, known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    ends = d.where("not held_out").count()
+    learnt = d.where("not held_out").select("text")
+    words = ws.table(learnt.mapInArrow(_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    total, known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    ends = learnt.count()
     n, v = total + ends, known + (ends > 0)
     base_of = lambda c: np.log10((c + 1.0) / (n + v + 1.0))
-    lengths = train(words, ends, ws)
-    end_lp = lengths.where(F.col("code") == end_gram()).first()["lp"]
-    scored = word_scores(words, lengths, ws, hot)
-    held = spark.sparkContext.broadcast(_hot(scored, "h", "c", "lp", n=hot))
+    grams = ws.table(d.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_grams, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "grams")
+    lengths = train(grams, ws)
+    ws.drop(grams)
+    held = spark.sparkContext.broadcast((_hot(words, "h", "c", n=hot_words), _hot(lengths, "code", "lp", n=hot_grams)))
     end_base = log10((ends + 1.0) / (n + v + 1.0))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part, row = held.value, TaskContext.get().partitionId() << 33, 0
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "lp", "rare"]
+        (of_words, of_grams), part, row = held.value, TaskContext.get().partitionId() << 33, 0
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "lp", "rare_words", "rare_grams"]
         for b in batches:
-            for i, j, buf, offs in K.blocks(b.column("text")):
-                low = K.LOWER[buf]
+            for i, j, buf, offs in K.blocks(b.column("text"), RUN_BYTES):
+                low, m = K.LOWER[buf], j - i
                 s, e, first = K.word_spans(low, offs)
+                size = np.diff(first)
+                of = np.repeat(np.arange(m), size)
                 h = K.signed(K.span_hashes(low, s, e))
-                m, size = j - i, np.diff(first)
-                of, at = np.repeat(np.arange(m), size), t.find(h)
-                hot_ = at >= 0
-                c = np.where(hot_, t.values[0][at], 0) if len(t.key) else np.zeros(len(h))
-                lp = np.where(hot_, t.values[1][at], 0.0) if len(t.key) else np.zeros(len(h))
-                cold = np.flatnonzero(~hot_)
-                offsets = np.searchsorted(cold, first).astype(np.int32)
+                at = of_words.find(h)
+                c = np.where(at >= 0, of_words.values[0][at], 0) if len(of_words.key) else np.zeros(len(h))
+                code, each, of_gram = stream(low, s, e, first)
+                # in the order of codes, so that the table is read from end to end
+                order = np.argsort(code)
+                code, of_gram = code[order], of_gram[order]
+                to = of_grams.find(code)
+                lp = np.where(to >= 0, of_grams.values[0][to], 0.0) if len(of_grams.key) else np.zeros(len(code))
                 cols = [
-                    np.arange(row, row + m) + part, b.column("doc_id").slice(i, m), b.column("held_out").slice(i, m), size.astype(np.int64) + 1,
-                    np.bincount(of, e - s + 1, m).astype(np.int64) + 1, np.bincount(of, c > 0, m).astype(np.int64) + (ends > 0),
-                    np.bincount(of, np.where(hot_, base_of(c), 0.0), m) + end_base, np.bincount(of, lp, m) + end_lp, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[cold])),
+                    np.arange(row, row + m) + part, b.column("doc_id").slice(i, m), b.column("held_out").slice(i, m), size.astype(np.int64) + 1, each.astype(np.int64),
+                    np.bincount(of, c > 0, m).astype(np.int64) + (ends > 0), np.bincount(of, np.where(at >= 0, base_of(c), 0.0), m) + end_base, np.bincount(of_gram, lp, m),
+                    _rare(h, of, at < 0, m), _rare(code, of_gram, to < 0, m),
                 ]
                 row += m
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols], names)
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, lp double, rare array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, lp double, rare_words array<long>, rare_grams array<long>"
     t = ws.table(d.mapInArrow(sums, schema), "texts")
     held.destroy()
-    cold = t.where("size(rare) > 0").select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
-    base = F.log10((F.col("c") + 1.0) / (n + v + 1.0))
-    cold = cold.join(scored, "h").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k1"), F.sum(base * F.col("k")).alias("b1"), F.sum(F.col("lp") * F.col("k")).alias("l1"))
-    out = t.drop("rare").join(cold, "row", "left")
+    cold = t.where("size(rare_words) > 0").select("row", F.explode("rare_words").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k")).join(words, "h", "left")
+    c = F.coalesce("c", F.lit(0))
+    cold = cold.groupBy("row").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("k1"), F.sum(F.log10((c + 1.0) / (n + v + 1.0)) * F.col("k")).alias("b1"))
+    deep = t.where("size(rare_grams) > 0").select("row", F.explode("rare_grams").alias("code")).groupBy("row", "code").agg(F.count("*").alias("k"))
+    deep = deep.join(lengths.select("code", "lp"), "code").groupBy("row").agg(F.sum(F.col("lp") * F.col("k")).alias("l1"))
+    out = t.drop("rare_words", "rare_grams").join(cold, "row", "left").join(deep, "row", "left")
     score_ = F.col("lp") + F.coalesce("l1", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k1", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b1", F.lit(0.0))).alias("base_score"), score_.alias("score"), (-score_ / log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )
+
+
+def _rare(x: np.ndarray, of: np.ndarray, rare: np.ndarray, texts: int) -> pa.Array:
+    """For each text those of its values that are rare."""
+    at = np.flatnonzero(rare)
+    at = at[np.argsort(of[at], kind="stable")]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[at], np.arange(texts + 1)).astype(np.int32)), pa.array(x[at]))
