@@ -11,8 +11,9 @@ totals meet the targets to within one block, and none exceeds ``epochs`` passes.
 
 Positions come from two-level running sums (bucket totals, then rows of a
 bucket), with about as many buckets as rows in one, so that a source with a
-third of all rows is spread over many tasks. All random numbers are functions of a seed
-and an index: reruns and retried tasks agree.
+third of all rows is spread over many tasks; so do the places of a shard's draws
+among its source's. Slots are expanded by shard, never by source. All random
+numbers are functions of a seed and an index: reruns and retried tasks agree.
 
 Edge cases. Null texts have no words: such documents take part with size 0. A
 null source is a source of its own, sorted last. Repeated rows are documents of
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ from .store import Workspace
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK, SHARD_SLOTS, EPOCHS, SEED = 32, 4096, 3, 20240607
+#: Output shards that one task draws or expands, at most 20,000 tasks.
+SHARDS_PER_TASK, TASKS = 32, 20_000
 MAX_SOURCES = 100_000
 
 
@@ -131,7 +135,11 @@ def shard_counts(docs: DataFrame, sources: list[Source], slots_per_shard: int =
                 yield pd.DataFrame({"shard": shard, "sid": np.flatnonzero(c).astype(np.int32), "n": c[c > 0]})
 
     shards = -(-n // slots_per_shard)
-    return docs.sparkSession.range(0, shards, numPartitions=max(1, min(shards, 2000))).mapInPandas(draw, "shard long, sid int, n long")
+    return docs.sparkSession.range(0, shards, numPartitions=_tasks(shards)).mapInPandas(draw, "shard long, sid int, n long")
+
+
+def _tasks(shards: int) -> int:
+    return max(1, min(TASKS, -(-shards // SHARDS_PER_TASK)))
 
 
 def slots(docs: DataFrame, sources: list[Source], ws: Workspace, slots_per_shard: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -143,26 +151,45 @@ def slots(docs: DataFrame, sources: list[Source], ws: Workspace, slots_per_shard
         drawn[sid] = k
     over, under = np.maximum(drawn - draws, 0), np.maximum(draws - drawn, 0)
     over_from, under_to = np.cumsum(over) - over, np.cumsum(under)
-    first = counts.withColumn("first", F.sum("n").over(W.partitionBy("sid").orderBy("shard")) - F.col("n"))
-
-    def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for shard, sid, n, at in zip(pdf["shard"], pdf["sid"], pdf["n"], pdf["first"], strict=True):
-                j = np.arange(at, at + n, dtype=np.int64)
-                s = np.full(n, sid, np.int64)
-                if (late := np.flatnonzero(j >= draws[sid])).size:
-                    g = over_from[sid] + j[late] - draws[sid]
-                    to = np.searchsorted(under_to, g, side="right")
-                    s[late], j[late] = to, drawn[to] + g - (under_to[to] - under[to])
-                b = np.empty(n, np.int64)
-                for k in np.unique(s):
-                    epoch = j // blocks[k]
-                    for e in np.unique(epoch[s == k]):
-                        m = (s == k) & (epoch == e)
-                        b[m] = permuted(j[m] - e * blocks[k], int(blocks[k]), hash((seed, int(k), int(e))))
-                yield pd.DataFrame({"shard": shard, "sid": s.astype(np.int32), "block": b})
-
-    return first.mapInPandas(place, "shard long, sid int, block long")
+    # running sums in two levels, so that no source is summed in one task
+    shards = -(-int(draws.sum()) // slots_per_shard)
+    each = max(1, math.isqrt(shards))
+    grouped = counts.withColumn("group", F.expr(f"shard div {each}"))
+    totals = grouped.groupBy("sid", "group").agg(F.sum("n").alias("s"))
+    before = totals.select("sid", "group", (F.sum("s").over(W.partitionBy("sid").orderBy("group")) - F.col("s")).alias("before"))
+    within = F.sum("n").over(W.partitionBy("sid", "group").orderBy("shard")) - F.col("n")
+    first = grouped.withColumn("within", within).join(before, ["sid", "group"]).select("shard", "sid", "n", (F.col("before") + F.col("within")).alias("first"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for shard, sid, n, at in zip(*(b.column(c).to_numpy() for c in ("shard", "sid", "n", "first")), strict=True):
+                held.append(_placed(int(shard), int(sid), int(n), int(at)))
+                size += int(n)
+                if size > 1 << 18:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+
+    def out(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["shard", "sid", "block"])
+
+    def _placed(shard: int, sid: int, n: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        j, s = np.arange(at, at + n, dtype=np.int64), np.full(n, sid, np.int64)
+        if (late := np.flatnonzero(j >= draws[sid])).size:
+            g = over_from[sid] + j[late] - draws[sid]
+            to = np.searchsorted(under_to, g, side="right")
+            s[late], j[late] = to, drawn[to] + g - (under_to[to] - under[to])
+        b = np.empty(n, np.int64)
+        for k in np.unique(s):
+            epoch = j // blocks[k]
+            for e in np.unique(epoch[s == k]):
+                m = (s == k) & (epoch == e)
+                b[m] = permuted(j[m] - e * blocks[k], int(blocks[k]), hash((seed, int(k), int(e))))
+        return np.full(n, shard, np.int64), s.astype(np.int32), b
+
+    return first.repartition(_tasks(shards), "shard").mapInArrow(place, "shard long, sid int, block long")
 
 
 def _pieces(lay: DataFrame, block: int) -> DataFrame:
@@ -175,10 +202,11 @@ def taken(docs: DataFrame, ws: Workspace | None = None, block: int = BLOCK) -> D
     """doc_id, source, size, source_size, target, taken for every row of ``docs`` (doc_id, source, text)."""
     spark, ws = docs.sparkSession, ws or Workspace(docs.sparkSession, "mixture")
     lay, sources = layout(docs, ws, block)
+    # blocks and documents grow with the corpus: merge joins at every size, never a broadcast
     times = slots(docs, sources, ws).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    got = _pieces(lay, block).join(times, ["sid", "block"]).groupBy("sid", "off").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    got = _pieces(lay, block).join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "off").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     info = spark.createDataFrame([(s.sid, s.name, s.size, s.target) for s in sources], "sid int, source string, source_size long, target double")
-    out = lay.withColumn("key", F.when(F.col("size") > 0, F.col("off"))).join(got.select("sid", F.col("off").alias("key"), "taken"), ["sid", "key"], "left")
+    out = lay.withColumn("key", F.when(F.col("size") > 0, F.col("off"))).join(got.select("sid", F.col("off").alias("key"), "taken").hint("merge"), ["sid", "key"], "left")
     return out.join(F.broadcast(info), "sid").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
