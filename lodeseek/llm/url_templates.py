@@ -4,8 +4,8 @@ Paths form a tree under each host. Level by level, children that look alike
 (numbers, hashes, dates, numbered files) and occur in at least two values
 become one wildcard, and so do thin crowds of different literals. Sibling
 branches are templates that differ in one literal. If the labelled block rates
-of those with enough labels agree by a chi-square bound, all siblings, those
-with few labels or none included, are merged. A template is rejected if its
+of those with enough labels agree by a chi-square bound, these are merged, and
+siblings without any label with them. A template is rejected if its
 smoothed block rate over labelled urls is high; templates without labels of
 their own or of merged siblings stay at the prior and are allowed. Labels are
 the urls that explicit rules decide.
@@ -114,7 +114,7 @@ def purities(labelled: DataFrame) -> DataFrame:
     spread = F.when((F.col("kin_b") == 0) | (F.col("kin_b") == F.col("kin_m")), 0.0).otherwise((F.col("q") - F.col("kin_b") * rate) / (rate * (1 - rate)))
     bound = (F.col("k") - 1) + 2 * F.sqrt(2.0 * (F.col("k") - 1))
     alike = sums.where((F.col("k") > 1) & (spread <= bound)).select("host", "family", "kin_b", "kin_m")
-    # a sibling with a few labels joins only if they don't contradict the family's
+    # siblings with a few labels of their own keep to these
     kin = kin.where((F.col("m") >= MERGE_LABELS) | (F.col("m") == 0))
     merged = kin.join(alike, ["host", "family"]).groupBy("host", "template").agg(F.max_by(F.struct("kin_b", "kin_m"), F.struct("kin_m", "family")).alias("f"))
     t = t.join(merged, ["host", "template"], "left")
