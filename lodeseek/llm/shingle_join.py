@@ -157,24 +157,25 @@ def _linked(percent: int, shingle: int):
     return check
 
 
-def _close(percent: int):
-    """Whether the bitmaps allow a link: |x ^ y| <= (100 - percent) / (100 + percent) * (|x| + |y|) for linked sets, and bitmaps differ in no more bits."""
+def _alike(percent: int, wide: bool):
+    """Whether bitmaps allow a link: |x ^ y| <= (100 - percent) / (100 + percent) * (|x| + |y|) for linked sets, and bitmaps differ in no more bits."""
     bound = (F.col("na") + F.col("nb")) * (100 - percent)
-    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(WORDS64)), F.lit(0))
-    wide = F.aggregate(F.zip_with("more_a", "more_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    short = (F.size("more_a") == 0) | (F.size("more_b") == 0)
-    return (apart * (100 + percent) <= bound) & (short | (wide * (100 + percent) <= bound))
+    if not wide:
+        apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(WORDS64)), F.lit(0))
+        return apart * (100 + percent) <= bound
+    apart = F.aggregate(F.zip_with("more_a", "more_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    return (F.size("more_a") == 0) | (F.size("more_b") == 0) | (apart * (100 + percent) <= bound)
 
 
 def _candidates(left: DataFrame, right: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of postings (token, rep, n, level, l) that share l shingles of their l-prefixes and whose sizes and parity bitmaps allow a link.
 
-    Postings that carry bitmaps are compared within the join, so that pairs that can't link are never made.
+    Postings that carry ``bits`` are compared within the join, so that most pairs that can't link are never made. The larger bitmaps
+    are fetched for pairs only: carried by postings they would be shuffled once for every shingle of a long prefix.
     """
-    maps = ("bits", "more")
     early = "bits" in left.columns
-    x = left.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("level").alias("va"), F.col("l").alias("la"), *[c for c in left.columns if c in ("comp", "major")], *[F.col(c).alias(f"{c}_a") for c in maps if early])
-    y = right.select(F.col("token").alias("token_b"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("level").alias("vb"), F.col("l").alias("lb"), *[F.col(c).alias(f"{c}_b") for c in right.columns if c == "comp" or c in maps])
+    x = left.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("level").alias("va"), F.col("l").alias("la"), *[c for c in left.columns if c in ("comp", "major")], *([F.col("bits").alias("bits_a")] if early else []))
+    y = right.select(F.col("token").alias("token_b"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("level").alias("vb"), F.col("l").alias("lb"), *[F.col(c).alias(f"{c}_b") for c in right.columns if c in ("comp", "bits")])
     on = (
         (F.col("token") == F.col("token_b")) & (F.col("a") != F.col("b"))
         & (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
@@ -183,15 +184,13 @@ def _candidates(left: DataFrame, right: DataFrame, sig: DataFrame, percent: int)
     if "comp" in left.columns:
         on &= (F.col("comp") != F.col("comp_b")) & ((F.col("comp_b") == F.col("major")) | (F.col("a") < F.col("b")))
     if early:
-        on &= _close(percent)
+        on &= _alike(percent, False)
     # a pair may be met as (a, b) in one list and as (b, a) in another; all its shared shingles are counted together
     p = x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("la", "lb").alias("need"))
     p = p.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need").select("a", "b")
-    if early:
-        return p
-    s = sig.select(F.col("rep").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"{c}_a") for c in maps])
-    t = sig.select(F.col("rep").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"{c}_b") for c in maps])
-    return p.join(s, "a").join(t, "b").where(_close(percent)).select("a", "b")
+    s = sig.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("more").alias("more_a"))
+    t = sig.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("more").alias("more_b"))
+    return p.join(s, "a").join(t, "b").where(_alike(percent, False) & _alike(percent, True)).select("a", "b")
 
 
 def classes(docs: DataFrame, ws: Workspace, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +258,7 @@ def classes(docs: DataFrame, ws: Workspace, percent: int, size: int) -> tuple[Da
         comp = ws.table(hops(edges), "labels")
     members = posts.join(comp.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     spread = members.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
-    members = ws.table(members.join(spread.select("token", "major"), "token").join(sig.select("rep", "bits", "more"), "rep"), "open")
+    members = ws.table(members.join(spread.select("token", "major"), "token").join(sig.select("rep", "bits"), "rep"), "open")
     ws.drop(posts, comp)
     rest = _candidates(members.where("comp <> major"), members.drop("major"), sig, percent)
     edges = edges.unionByName(verified(rest, "rest"))
