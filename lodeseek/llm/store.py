@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import small_batches
+
 
 def shared_root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Where it is unset a new local folder is used, in local mode only."""
@@ -26,12 +28,6 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
-    """Arrow batches of whole texts stay at a few MB; the default of 10,000 rows can take hundreds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete a query's shuffle files when the query has ended; what later queries read is written as tables."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")

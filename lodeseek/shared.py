@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -21,5 +21,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def spread(df: DataFrame, each: int = 3) -> DataFrame:
+    """``df`` dealt evenly over ``each`` tasks a core, unless it is large enough for its files to be read by as many.
+
+    A narrow table of millions of rows is often one row group, whose rows one task would otherwise work through alone. Tables whose size Spark
+    doesn't know stay as they are.
+    """
+    n = each * max(1, df.sparkSession.sparkContext.defaultParallelism)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size <= n << 27 else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of whole texts stay at a few MB; the default of 10,000 rows can take hundreds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

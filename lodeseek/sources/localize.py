@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..functions import text as T
-from ..shared import checkpoint_root
+from ..shared import checkpoint_root, small_batches, spread
 from . import carriers
 from .detect import HANDLER_OF, detect
 
@@ -59,8 +59,8 @@ def files(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[Da
 
 
 def from_columns(df: DataFrame, root, name, data) -> DataFrame:
-    """Objects from columns that hold bytes or text."""
-    return df.select(root.alias("root_path"), name.alias("nested_path"), name.alias("name"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), data.cast("binary").alias("data"))
+    """Objects from columns that hold bytes or text. Rows of small tables are dealt over all cores before ``data`` is made of them."""
+    return spread(df).select(root.alias("root_path"), name.alias("nested_path"), name.alias("name"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), data.cast("binary").alias("data"))
 
 
 def _expand(limits: Limits, disabled: frozenset[str]):
@@ -87,17 +87,18 @@ def _expand(limits: Limits, disabled: frozenset[str]):
                 yield base | {"tag": "warning", "nested_path": x.path, "code": x.code, "message": x.message}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of many objects go into one batch: a batch costs as much as a hundred rows
+        held, size = [], 0
         for b in batches:
             for r in range(b.num_rows):
-                held, size = [], 0
                 for x in rows(_Object(*(c[r].as_py() for c in b.columns))):
                     held.append(x)
                     size += x.get("size", 0) if x["tag"] == "child" else len(x.get("text") or "")
-                    if size > 8 << 20:
+                    if size > 8 << 20 or len(held) == 2000:
                         yield pa.RecordBatch.from_pylist(held, _SCHEMA)
                         held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, _SCHEMA)
+        if held:
+            yield pa.RecordBatch.from_pylist(held, _SCHEMA)
 
     return run
 
@@ -105,6 +106,7 @@ def _expand(limits: Limits, disabled: frozenset[str]):
 def localize(objects: DataFrame, limits: Limits = Limits(), disabled: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, objects, warnings) of ``objects`` and everything nested in them, to the depth limit."""
     checkpoint_root(objects.sparkSession)
+    small_batches(objects.sparkSession)
     levels, frontier, used = [], objects.select(*_Object._fields), None
     for _ in range(limits.max_depth + 2):
         found = frontier.mapInArrow(_expand(limits, disabled), FOUND).withColumn("row", F.monotonically_increasing_id()).checkpoint()
@@ -117,10 +119,14 @@ def localize(objects: DataFrame, limits: Limits = Limits(), disabled: frozenset[
             children = children.join(used, "root_path", "left").withColumn("spent", F.col("spent") + F.coalesce("used", F.lit(0))).drop("used")
         children = children.checkpoint()
         beyond = children.where(F.col("spent") > limits.max_expanded_size)
-        levels.append(beyond.select("root_path", "nested_path", F.lit("warning").alias("tag"), F.lit("expanded_size_limit").alias("code"), F.lit("object is not read").alias("message")))
-        frontier = frontier.join(beyond.select("row"), "row", "left_anti").select(*_Object._fields)
         now = children.where(F.col("spent") <= limits.max_expanded_size).groupBy("root_path").agg(F.max("spent").alias("used"))
         used = now if used is None else used.unionByName(now).groupBy("root_path").agg(F.max("used").alias("used"))
+        frontier = frontier.select("row", *_Object._fields)
+        if beyond.isEmpty():  # nothing to take out: the contents stay where they are
+            frontier = frontier.drop("row")
+            continue
+        levels.append(beyond.select("root_path", "nested_path", F.lit("warning").alias("tag"), F.lit("expanded_size_limit").alias("code"), F.lit("object is not read").alias("message")))
+        frontier = frontier.join(beyond.select("row"), "row", "left_anti").select(*_Object._fields)
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels)
     records = found.where("tag = 'record'").withColumns(
         {

@@ -213,3 +213,31 @@ def test_stream_takes_the_context_of_each_match(spark, tmp_path):
     pattern = re.compile(CORE_RULES[-1].pattern)
     want = [(n, m[1], t[max(0, m.start() - 120) : m.end() + 120]) for n, t in (("late", late), ("far", far)) for m in pattern.finditer(t)]
     assert sorted((r.name, r.value, r.context) for r in got) == sorted(want) and len(want) == 2
+
+
+def test_objects_share_batches():
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in localize.OBJECT.split(", ")]
+    rows = [dict(zip(names, ("mem://x", f"{k}.txt", f"{k}.txt", 0, None, b"a line"), strict=True)) for k in range(500)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([(n, localize._TYPES[t]) for n, t in (c.split() for c in localize.OBJECT.split(", "))]))
+    out = list(localize._expand(localize.Limits(), frozenset())(iter([batch])))
+    assert len(out) == 1 and out[0].num_rows == 1500
+
+
+def test_tar_is_tried_where_it_can_be():
+    import bz2
+    import io
+    import lzma
+    import random
+    import tarfile
+
+    whole, r = formats.tarred({"a.txt": b"x" * 600}), random.Random(5)
+    cases = [whole, bz2.compress(whole), lzma.compress(whole), lzma.compress(whole, lzma.FORMAT_ALONE), b"\0" * 512, b"", b"\0", b"ab", whole[:511], b"]\0\0"] + [r.randbytes(r.randrange(700)) for _ in range(300)]
+    for data in cases:
+        try:
+            tarfile.open(fileobj=io.BytesIO(data), mode="r:*").close()
+        except (tarfile.TarError, OSError, EOFError):
+            continue
+        assert detect._may_be_tar(data) and detect.detect(data, "x").kind in ("tar", "gzip")
+    assert not detect._may_be_tar(b"Customer#000000001xx") and detect._may_be_tar(cases[3])
