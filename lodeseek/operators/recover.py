@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import decode, encoding, ocr
-from ..shared import checkpoint_root
+from ..shared import checkpoint_root, small_batches, spread
 
 STEP = "array<struct<operation:string,detail:string,input_sha256:string,output_sha256:string,depth:int,encoding:string,confidence:double>>"
 
@@ -61,13 +61,23 @@ def ocr_variants(records: DataFrame, rules: list, config: Config = Config()) ->
     """record_id, recovered, edits, rule_id, trace_confidence: corrected texts of image records."""
     limits, width = ocr.constraints(rules), min(config.limits.max_recovery_beam, config.limits.max_ocr_variants)
 
+    frame = lambda rows: pd.DataFrame(rows, columns=["record_id", "recovered", "edits", "rule_id", "trace_confidence"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, v, cost, rule, max(0.25, c - min(0.5, 0.05 * cost))) for i, t, c in zip(b.record_id, b.recovered, b.confidence, strict=True) for v, cost, rule in ocr.variants(t, limits, width)]
-            yield pd.DataFrame(rows, columns=["record_id", "recovered", "edits", "rule_id", "trace_confidence"])
-
+            rows, size = [], 0
+            for i, t, c in zip(b.record_id, b.recovered, b.confidence, strict=True):
+                for v, cost, rule in ocr.variants(t, limits, width):
+                    rows.append((i, v, cost, rule, max(0.25, c - min(0.5, 0.05 * cost))))
+                    size += len(v)
+                if size > 8 << 20:
+                    yield frame(rows)
+                    rows, size = [], 0
+            yield frame(rows)
+
+    small_batches(records.sparkSession)
     images = records.where(F.col("carrier_type").isin("image", "pdf-page")).select("record_id", "recovered", "confidence")
-    return images.mapInPandas(run, "record_id string, recovered string, edits int, rule_id string, trace_confidence double")
+    return spread(images).mapInPandas(run, "record_id string, recovered string, edits int, rule_id string, trace_confidence double")
 
 
 def recover(records: DataFrame, rules: list, config: Config = Config(), recovery: bool = True) -> DataFrame:

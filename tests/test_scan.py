@@ -215,6 +215,23 @@ def test_stream_takes_the_context_of_each_match(spark, tmp_path):
     assert sorted((r.name, r.value, r.context) for r in got) == sorted(want) and len(want) == 2
 
 
+def test_small_tables_are_dealt_over_all_cores(spark, tmp_path):
+    """One row group is one task, unless its rows are dealt out before carriers are made and read; a larger table stays as it is."""
+    from lodeseek.shared import spread
+
+    rows = spark.range(200).select("id", F.concat(F.lit("n"), "id").alias("n"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    objects = localize.from_columns(t, F.lit("mem://t"), F.concat("n", F.lit(".txt")), F.col("n"))
+    images = t.select(F.col("n").alias("record_id"), F.lit("AKlA0123456789ABCDEF").alias("recovered"), F.lit(0.9).alias("confidence"), F.lit("image").alias("carrier_type"))
+    variants = recover.ocr_variants(images, list(CORE_RULES))
+    for df in (objects, variants):
+        assert t.rdd.getNumPartitions() == 1 and df.rdd.getNumPartitions() == 12
+        assert df.groupBy(F.spark_partition_id()).count().count() == 12
+    assert objects.count() == 200
+    assert spread(spark.range(8)).count() == 8 and spread(spark.createDataFrame([(1,)], "a int").checkpoint()).count() == 1
+
+
 def test_objects_share_batches():
     import pyarrow as pa
 
@@ -241,3 +258,28 @@ def test_tar_is_tried_where_it_can_be():
             continue
         assert detect._may_be_tar(data) and detect.detect(data, "x").kind in ("tar", "gzip")
     assert not detect._may_be_tar(b"Customer#000000001xx") and detect._may_be_tar(cases[3])
+
+
+def test_beam_checks_only_where_rules_can_close():
+    from lodeseek.functions import ocr
+
+    def plain(token, limits, width):
+        kept = {"": 0}
+        for c in token:
+            grown = {}
+            for start, cost in kept.items():
+                for k, option in enumerate(c + ocr.CONFUSED.get(c, "")):
+                    if not limits or any(x.open_to(start + option) for x in limits):
+                        grown[start + option] = min(grown.get(start + option, cost + 1), cost + (k > 0))
+            kept = dict(sorted(grown.items(), key=lambda x: (x[1], x[0]))[:width])
+        named = ((v, cost, next((x.rule_id for x in limits if x.fits(v)), None)) for v, cost in kept.items())
+        return [(v, cost, rule) for v, cost, rule in named if rule is not None and v != token]
+
+    import random
+
+    r = random.Random(3)
+    limits = [ocr.Constraint("a", ("AKIA", "ASIA"), 8, 12), ocr.Constraint("b", ("l0",), 4, 9), ocr.Constraint("c", ("O",), 4, 14, "[A-Z0-9]+")]
+    for _ in range(400):
+        token = "".join(r.choice("AKlI10OSx") for _ in range(r.randrange(1, 18)))
+        for some in (limits, limits[:1], [ocr.Constraint("any", (), 1, 10)], []):
+            assert ocr.beam(token, some, 8) == plain(token, some, 8)
