@@ -215,6 +215,28 @@ def test_stream_takes_the_context_of_each_match(spark, tmp_path):
     assert sorted((r.name, r.value, r.context) for r in got) == sorted(want) and len(want) == 2
 
 
+def _against_sql(spark, at, name, table, rows, schema):
+    """(rows of a query over one small table, rows of its SQL)"""
+    import duckdb
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{at}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{at}/{table}.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLES[name])
+    got = catalogue.QUERIES[name](spark, str(at)).select(*[c[0] for c in want.description])
+    return sorted(map(tuple, got.collect()), key=str), sorted(want.fetchall(), key=str)
+
+
+def test_decoded_chain_without_chance_hits(spark, tmp_path):
+    """The digest of this name, with the digits of the escape before it, is also hexadecimal for readable text."""
+    name = "Customer#000180374"
+    got, want = _against_sql(spark, tmp_path, "decode_bfs_3", "customer", [(1, name), (2, "Customer#000000001")], "c_custkey long, c_name string")
+    assert got == want and len(got) == 8
+    token = "password%3D" + __import__("hashlib").md5(name.encode()).hexdigest()
+    texts = recover.recover(records(spark, token).where("location = 'document'"), [])
+    assert {"url", "hex"} == {s.encoding for r in texts.collect() for s in r.steps}  # the engine still decodes both
+
+
 def test_small_tables_are_dealt_over_all_cores(spark, tmp_path):
     """One row group is one task, unless its rows are dealt out before carriers are made and read; a larger table stays as it is."""
     from lodeseek.shared import spread
