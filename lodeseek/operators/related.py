@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..config import Config
 from ..functions import text as T
 from ..functions.ocr import CONFUSED
 from ..functions.plan_decode import strict
+from ..shared import small_batches
 
 # --- fixed values ---
 PART_FIELD = r"(?i)(?:part|chunk|segment|prefix|suffix)[_-]?(?:\d+)?$"
@@ -47,10 +49,11 @@ def groups(records: DataFrame, compat: bool = False, of: DataFrame | None = None
     key = T.natural_key(F.coalesce(F.nullif("field_path", F.lit("")), "location"))
     member = F.struct(key.alias("key"), "record_id", "location", "text", "context", "confidence", "nested_path", F.coalesce("parent_id", F.lit("")).alias("parent_id"))
     part = F.when(F.col("field_path").rlike(PART_FIELD), 1).otherwise(0)
+    one = lambda c: F.min(c) == F.max(c)  # noqa: E731 - counts of distinct values would triple the rows
     g = r.groupBy(*KEY).agg(
-        F.sort_array(F.collect_list(member)).alias("members"), F.sum(part).alias("parts"), F.min("confidence").alias("low"), F.count_distinct(F.coalesce("parent_id", F.lit(""))).alias("parents"), F.count_distinct("nested_path").alias("places"), F.count("*").alias("n"),
+        F.sort_array(F.collect_list(member)).alias("members"), F.sum(part).alias("parts"), F.min("confidence").alias("low"), one(F.coalesce("parent_id", F.lit(""))).alias("one_parent"), one("nested_path").alias("one_place"), F.count("*").alias("n"),
     )
-    g = g.where((F.col("n") >= 2) & ((F.col("parts") > 0) | ((F.col("parents") == 1) & (F.col("places") == 1))))
+    g = g.where((F.col("n") >= 2) & ((F.col("parts") > 0) | (F.col("one_parent") & F.col("one_place"))))
     return g.select(_group_id().alias("group_id"), F.col("_root").alias("root_path"), F.col("_parent").alias("parent"), F.col("_relation").alias("relation"), "members", "parts", (F.col("low") * F.when(F.col("parts") > 0, 0.95).otherwise(0.80)).alias("confidence"))
 
 
@@ -148,13 +151,18 @@ def run_plan(plan: dict, group_id: str, known: dict[str, str], config: Config =
 def plans(g: DataFrame, proposed: DataFrame, config: Config = Config()) -> DataFrame:
     """group_id, value, error, confidence for proposed plans (group_id, plan: JSON) over their groups."""
 
-    @F.udf("value string, error string")
-    def execute(plan: str, group_id: str, members) -> tuple[str | None, str | None]:
+    def outcome(plan: str, group_id: str, ids, texts) -> tuple[str | None, str | None]:
         try:
-            return run_plan(json.loads(plan), group_id, {m["record_id"]: m["text"] for m in members}, config), None
+            return run_plan(json.loads(plan), group_id, dict(zip(ids, texts, strict=True)), config), None
         except (ValueError, TypeError, KeyError, AttributeError) as e:
             return None, str(e)
 
-    x = proposed.join(g, "group_id").withColumn("r", execute("plan", "group_id", "members"))
-    low = F.array_min(F.transform("members", lambda m: m["confidence"]))
-    return x.select("group_id", "r.value", "r.error", F.greatest(F.lit(0.35), low - 0.12).alias("confidence"))
+    def execute(plan: pd.Series, group_id: pd.Series, ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([outcome(*x) for x in zip(plan, group_id, ids, texts, strict=True)], columns=["value", "error"], dtype=object)
+
+    small_batches(proposed.sparkSession)
+    of = lambda f: F.transform("members", lambda m: m[f])
+    low = F.greatest(F.lit(0.35), F.array_min(of("confidence")) - 0.12)
+    x = proposed.join(g.select("group_id", of("record_id").alias("ids"), of("text").alias("texts"), low.alias("confidence")), "group_id")
+    r = F.pandas_udf(execute, "value string, error string")("plan", "group_id", "ids", "texts")
+    return x.select("group_id", r.alias("r"), "confidence").select("group_id", "r.value", "r.error", "confidence")

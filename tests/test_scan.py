@@ -313,3 +313,12 @@ def test_beam_checks_only_where_rules_can_close():
         token = "".join(r.choice("AKlI10OSx") for _ in range(r.randrange(1, 18)))
         for some in (limits, limits[:1], [ocr.Constraint("any", (), 1, 10)], []):
             assert ocr.beam(token, some, 8) == plain(token, some, 8)
+
+
+def test_groups_without_copies_of_rows(spark):
+    """Distinct parents and places are told by least and greatest; counts of distinct values would triple the rows. Plans get no more than they need."""
+    r = catalogue._halves(spark, "/root/testdata/sf0.001")
+    plan = related.groups(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+    two = r.withColumn("field_path", F.lit("f")).withColumn("nested_path", F.when(F.col("record_id").endswith("1"), "a").otherwise("b"))
+    assert related.groups(two).count() == 0 and related.groups(two.withColumn("nested_path", F.lit("a"))).count() == 1500
