@@ -39,9 +39,7 @@ def scan(records: DataFrame, rules: list[Rule] | None = None, config: Config = C
     texts = recover.recover(records, rules, config, switches.get("recovery", True))
     found, late = extract.extract(texts, rules, config, case_sensitive, group_mode)
     if switches.get("recovery", True):
-        parts = related.fragments(related.groups(related.fragmented(records)))
-        whole = recover.recover(parts, rules, config, False)
-        more, late2 = extract.extract(whole, rules, config, case_sensitive, group_mode)
+        more, late2 = extract.extract(_fragments(records, rules, config), rules, config, case_sensitive, group_mode)
         found, late = found.unionByName(more), late.unionByName(late2)
         if proposed is not None:
             g = related.groups(records, of=proposed)
@@ -56,12 +54,28 @@ def scan(records: DataFrame, rules: list[Rule] | None = None, config: Config = C
     return Scan(records, found, decisions, verify.findings(decisions, config), late)
 
 
+def _fragments(records: DataFrame, rules: list[Rule], config: Config) -> DataFrame:
+    return recover.recover(related.fragments(related.groups(related.fragmented(records))), rules, config, False)
+
+
 def ablation(records: DataFrame, rules: list[Rule] | None = None, config: Config = Config()) -> DataFrame:
-    """profile, candidates, accepted for every profile."""
-    out = None
-    for name in PROFILES:
-        s = scan(records, rules, config, name)
-        row = s.decisions.agg(F.count("*").alias("candidates"), F.coalesce(F.sum(F.col("accepted").cast("int")), F.lit(0)).alias("accepted")).select(F.lit(name).alias("profile"), "candidates", "accepted")
+    """profile, candidates, accepted for every profile, as ``scan`` gives them.
+
+    Texts are recovered and searched once with and once without recovery: profiles differ in which of these candidates they take, and in fragments.
+    """
+    rules, out, own, joined = ordered(rules if rules is not None else CORE_RULES), None, {}, {}
+    for name, switches in PROFILES.items():
+        recovery, media, post = (switches.get(x, True) for x in ("recovery", "media", "post_filter"))
+        if recovery not in own:
+            own[recovery] = extract.extract(recover.recover(records, rules, config, recovery), rules, config)[0]
+        kept = lambda df: df if media else df.where(~F.col("carrier_type").isin(*MEDIA))
+        found = kept(own[recovery])
+        if recovery:
+            if media not in joined:
+                joined[media] = extract.extract(_fragments(kept(records), rules, config), rules, config)[0]
+            found = found.unionByName(joined[media])
+        decisions = verify.decide(extract.deduplicated(found), config, post)
+        row = decisions.agg(F.count("*").alias("candidates"), F.coalesce(F.sum(F.col("accepted").cast("int")), F.lit(0)).alias("accepted")).select(F.lit(name).alias("profile"), "candidates", "accepted")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -322,3 +322,19 @@ def test_groups_without_copies_of_rows(spark):
     assert "Expand" not in plan
     two = r.withColumn("field_path", F.lit("f")).withColumn("nested_path", F.when(F.col("record_id").endswith("1"), "a").otherwise("b"))
     assert related.groups(two).count() == 0 and related.groups(two.withColumn("nested_path", F.lit("a"))).count() == 1500
+
+
+def test_ablation_searches_once_and_agrees_with_scans(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "AKIAABCD", "EFGHIJKLMNOP"), (2, "AKIAZZZZ", "EFGHIJKLMNOQ")], "id int, key_part_1 string, key_part_2 string")
+    cells = localize.cell_records(df, "t", F.col("id"), ["key_part_1", "key_part_2"]).withColumn("carrier_type", F.when(F.col("location").contains("row:2:column:key_part_1"), "image").otherwise("sqlite"))
+    cells = cells.withColumns({c: F.lit(None).cast(t) for c, t in (("relationship", "string"), ("encoding", "string"), ("byte_offset", "long"), ("page", "int"), ("mime", "string"), ("parent_id", "string"), ("content_sha256", "string"))})
+    cells = cells.withColumns({"record_id": F.col("location"), "confidence": F.lit(1.0), "detected_type": F.lit("sqlite")}).select(*localize.RECORD)
+    r = cells.unionByName(catalogue._half_hidden(spark, "/root/testdata/sf0.001"))
+    want = {}
+    for name in scan.PROFILES:
+        d = scan.scan(r, profile=name).decisions
+        want[name] = (d.count(), d.where("accepted").count())
+    calls, real = [], recover.decode_levels
+    monkeypatch.setattr(recover, "decode_levels", lambda *a: calls.append(1) or real(*a))
+    assert {x.profile: (x.candidates, x.accepted) for x in scan.ablation(r).collect()} == want
+    assert len(calls) == 1 and len(set(want.values())) > 2
