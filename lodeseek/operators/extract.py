@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as T
 from ..rules import Rule, rules_frame, to_java, to_regex
-from ..shared import checkpoint_root
+from ..shared import checkpoint_root, small_batches
 
 #: What a record hands on to its candidates.
 PLACE = ("record_id", "root_path", "nested_path", "carrier_type", "record_context", "relationship", "field_path", "depth", "trace_confidence", "steps_sha256")
@@ -49,12 +49,17 @@ def _span_finder(rules: list[Rule], config: Config, case_sensitive: bool, group_
         target = {"secret": value, "match": whole, "line": whole, "path": path}
         return any(p.search(target.get(t, value)) for t, p in allow) or any(p.search(path) for p in paths)
 
+    frame = lambda rows: pd.DataFrame(rows, columns=[c.split()[0] for c in SPAN.split(", ")])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not compiled:
             compile_all()
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for x in b.itertuples(index=False):
+                if size > 8 << 20:
+                    yield frame(rows)
+                    rows, size = [], 0
                 text, path = x.recovered, f"{x.root_path}!/{x.nested_path}"
                 place = tuple(getattr(x, c) for c in PLACE)
                 low = None if case_sensitive else text.lower()
@@ -77,7 +82,8 @@ def _span_finder(rules: list[Rule], config: Config, case_sensitive: bool, group_
                         if value is None or allowed(value, m[0], path, allow, paths, stop):
                             continue
                         rows.append((*place, k, value, f"{x.location}@{m.start(g)}:{m.end(g)}", text[max(0, m.start() - 120) : m.end() + 120]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPAN.split(", ")])
+                        size += len(value) + m.end() - m.start() + 1000
+            yield frame(rows)
 
     return run
 
@@ -89,6 +95,7 @@ def extract(recovered: DataFrame, rules: list[Rule], config: Config = Config(),
     """
     spark = recovered.sparkSession
     checkpoint_root(spark)
+    small_batches(spark)
     texts = recovered.where(prefilter(F.col("recovered"), rules, case_sensitive))
     texts = texts.withColumns({"steps_sha256": F.sha2(F.to_json("steps"), 256), "record_context": F.col("context")})
     spans = texts.select(*PLACE, "location", "recovered").mapInPandas(_span_finder(rules, config, case_sensitive, group_mode), SPAN).checkpoint()

@@ -315,6 +315,21 @@ def test_beam_checks_only_where_rules_can_close():
             assert ocr.beam(token, some, 8) == plain(token, some, 8)
 
 
+def test_long_results_leave_in_parts(spark):
+    """Whole texts come in batches of some MB, and matches leave before a batch's have piled up."""
+    import pandas as pd
+
+    rule = [Rule("k", "K", r"k[a-z]{999}")]
+    find = extract._span_finder(rule, extract.Config(), True, "whole")
+    text = ("k" + "a" * 999 + " ") * 1000
+    row = dict.fromkeys(extract.PLACE, "") | {"depth": 0, "trace_confidence": 1.0, "location": "document", "recovered": text}
+    out = list(find(iter([pd.DataFrame([row] * 20)])))
+    assert len(out) > 2 and sum(map(len, out)) == 20_000
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    scan.scan(records(spark, "x"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
 def test_groups_without_copies_of_rows(spark):
     """Distinct parents and places are told by least and greatest; counts of distinct values would triple the rows. Plans get no more than they need."""
     r = catalogue._halves(spark, "/root/testdata/sf0.001")
