@@ -40,7 +40,9 @@ def database(statements: list[tuple[str, tuple]]) -> bytes:
     for sql, values in statements:
         db.execute(sql, values)
     db.commit()
-    return db.serialize()
+    data = db.serialize()
+    db.close()
+    return data
 
 
 def mo_file(messages: dict[str, str]) -> bytes:

@@ -1,19 +1,22 @@
 """Localization: files and binary columns to located text records.
 
-Objects are expanded level by level (archives in archives). A level is one
-Arrow-batched pass whose rows are a tagged union of records, children and
-warnings, written to the shared checkpoint folder; the next level reads the
-children from there. The expanded-size budget holds for each root over all
-levels: children are admitted in order of their paths while their sizes fit,
-and every child beyond it is a warning. Sums are taken over paths and sizes, so
-contents are never moved.
+Objects are expanded to all depths (archives in archives) where they are read,
+in one Arrow-batched pass whose rows are a tagged union of records, objects and
+warnings, written once to the shared folder; contents of children are never
+moved. The expanded-size budget holds for each root over all levels: children
+are admitted in order of their paths while their sizes fit, and every child
+beyond it is a warning. Where all children of a root fit, their order doesn't
+matter. Roots that hold more are taken again, level by level: the next level
+reads the children from the checkpoint of the last, and sums are taken over
+paths and sizes.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..functions import text as T
-from ..shared import checkpoint_root, small_batches, spread
+from ..shared import checkpoint_root, shared_folder, small_batches, spread
 from . import carriers
 from .detect import HANDLER_OF, detect
 
@@ -35,6 +38,8 @@ FOUND = (
 RECORD = ["record_id", "root_path", "nested_path", "carrier_type", "location", "text", "context", "grp", "field_path", "relationship", "confidence", "encoding", "byte_offset", "page", "mime", "detected_type", "parent_id", "content_sha256"]
 _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 _SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in FOUND.split(", "))])
+_SIZE, _TEXT, _DATA = (_SCHEMA.get_field_index(n) for n in ("size", "text", "data"))
+PARTS = frozenset({"record", "object", "warning"})
 _Object = namedtuple("_Object", [c.split()[0] for c in OBJECT.split(", ")])
 
 
@@ -63,54 +68,102 @@ def from_columns(df: DataFrame, root, name, data) -> DataFrame:
     return spread(df).select(root.alias("root_path"), name.alias("nested_path"), name.alias("name"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), data.cast("binary").alias("data"))
 
 
-def _expand(limits: Limits, disabled: frozenset[str]):
-    def rows(o) -> Iterator[dict]:
+def _expand(limits: Limits, disabled: frozenset[str], parts: frozenset[str] = PARTS, deep: bool = False):
+    """A pass over objects that gives rows of ``parts``: of one level, with its children, or (``deep``) of all that is nested.
+
+    Depth first only a chain of objects is held at a time. One ``spent`` row for each object with children says how much they hold, which is
+    what the limit of expanded size is tested on; beyond it an object isn't followed further.
+    """
+    tested, none = "record" in parts or "warning" in parts, (None,) * 11
+
+    def rows(o) -> Iterator[tuple]:
         data = o.data or b""
-        base = {"root_path": o.root_path, "nested_path": o.nested_path, "name": o.name, "depth": o.depth, "parent_id": o.parent_id, "size": len(data)}
+        root, nested, place = o.root_path, o.nested_path, (o.name, o.depth, o.parent_id)
         if o.depth > limits.max_depth or len(data) > limits.max_object_size:
-            yield base | {"tag": "warning", "code": "max_depth" if o.depth > limits.max_depth else "object_too_large", "message": "object is not read"}
+            if "warning" in parts:
+                code = "max_depth" if o.depth > limits.max_depth else "object_too_large"
+                yield ("warning", root, nested, *place, None, None, None, len(data), *none, code, "object is not read")
             return
         d = detect(data, o.name)
         if d.kind in disabled:
             return
-        base |= {"kind": d.kind, "mime": d.mime, "structural": d.structural}
-        yield base | {"tag": "object"}
-        if not d.structural and d.kind in carriers.ARCHIVES:
-            yield base | {"tag": "warning", "code": "structure_inconsistent", "message": f"no {d.kind} structure"}
-        for x in carriers.read(data, d.kind, o.nested_path, limits):
+        place += (d.kind, d.mime, d.structural, len(data))
+        if "object" in parts:
+            yield ("object", root, nested, *place, *none, None, None)
+        if not tested and d.kind not in carriers.HOLDERS:
+            return
+        if "warning" in parts and not d.structural and d.kind in carriers.ARCHIVES:
+            yield ("warning", root, nested, *place, *none, "structure_inconsistent", f"no {d.kind} structure")
+        for x in carriers.read(data, d.kind, nested, limits):
             if isinstance(x, carriers.Record):
-                if x.text:
-                    yield base | {"tag": "record", "carrier_type": x.kind or d.kind, "location": x.location, "text": x.text.encode("utf-8", "replace").decode(), "context": x.context, "grp": x.group or o.nested_path, "field_path": x.field_path, "relationship": x.relationship, "confidence": max(0.0, min(1.0, x.confidence)), "encoding": x.encoding, "byte_offset": x.byte_offset}
+                if x.text and "record" in parts:
+                    text = x.text.encode("utf-8", "replace").decode()
+                    yield ("record", root, nested, *place, x.kind or d.kind, x.location, text, x.context, x.group or nested, x.field_path, x.relationship, max(0.0, min(1.0, x.confidence)), x.encoding, x.byte_offset, None, None, None)
             elif isinstance(x, carriers.Child):
-                yield base | {"tag": "child", "nested_path": f"{o.nested_path}!/{x.name}", "name": x.name, "depth": o.depth + 1, "parent_id": o.nested_path, "size": len(x.data), "data": x.data}
+                yield ("child", root, f"{nested}!/{x.name}", x.name, o.depth + 1, nested, d.kind, d.mime, d.structural, len(x.data), *none[:-1], x.data, None, None)
+            elif "warning" in parts:
+                yield ("warning", root, x.path, *place, *none, x.code, x.message)
+
+    def walk(o) -> Iterator[tuple]:
+        stack, spent, held = [rows(o)], 0, False
+        while stack:
+            x = next(stack[-1], None)
+            if x is None:
+                stack.pop()
+            elif x[0] != "child":
+                yield x
             else:
-                yield base | {"tag": "warning", "nested_path": x.path, "code": x.code, "message": x.message}
+                held, spent = True, spent + x[_SIZE]
+                if spent > limits.max_expanded_size:
+                    break
+                stack.append(rows(_Object(*x[1:6], x[_DATA])))
+        if held:
+            yield ("spent", o.root_path, o.nested_path, o.name, o.depth, o.parent_id, None, None, None, spent, *none, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of many objects go into one batch: a batch costs as much as a hundred rows
         held, size = [], 0
         for b in batches:
-            for r in range(b.num_rows):
-                for x in rows(_Object(*(c[r].as_py() for c in b.columns))):
+            for o in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for x in (walk if deep else rows)(_Object(*o)):
                     held.append(x)
-                    size += x.get("size", 0) if x["tag"] == "child" else len(x.get("text") or "")
+                    size += x[_SIZE] if x[0] == "child" else len(x[_TEXT] or "")
                     if size > 8 << 20 or len(held) == 2000:
-                        yield pa.RecordBatch.from_pylist(held, _SCHEMA)
+                        yield _batch(held)
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist(held, _SCHEMA)
+            yield _batch(held)
 
     return run
 
 
-def localize(objects: DataFrame, limits: Limits = Limits(), disabled: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, objects, warnings) of ``objects`` and everything nested in them, to the depth limit."""
-    checkpoint_root(objects.sparkSession)
-    small_batches(objects.sparkSession)
-    levels, frontier, used = [], objects.select(*_Object._fields), None
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+
+
+def _written(found: DataFrame) -> DataFrame:
+    """``found`` as Parquet in the shared folder, read again: readers take only the columns they need. Deleted when Python ends."""
+    spark, at = found.sparkSession, shared_folder(found.sparkSession, "localized")
+    atexit.register(_delete, spark, at)
+    found.write.parquet(at)
+    return spark.read.schema(found.schema).parquet(at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    try:
+        if not spark.sparkContext._jsc.sc().isStopped():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may be gone; the folder is then left to its owner
+        pass
+
+
+def _by_levels(objects: DataFrame, limits: Limits, disabled: frozenset[str], parts: frozenset[str]) -> DataFrame:
+    """Rows of ``objects`` and what is nested in them, level by level, with the children that each root's expanded size admits."""
+    levels, frontier, used = [], objects, None
     for _ in range(limits.max_depth + 2):
-        found = frontier.mapInArrow(_expand(limits, disabled), FOUND).withColumn("row", F.monotonically_increasing_id()).checkpoint()
-        levels.append(found.drop("data", "row"))
+        found = frontier.mapInArrow(_expand(limits, disabled, parts), FOUND).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+        levels.append(found.where("tag <> 'child'").drop("data", "row"))
         frontier = found.where("tag = 'child'")
         if frontier.isEmpty():
             break
@@ -125,9 +178,28 @@ def localize(objects: DataFrame, limits: Limits = Limits(), disabled: frozenset[
         if beyond.isEmpty():  # nothing to take out: the contents stay where they are
             frontier = frontier.drop("row")
             continue
-        levels.append(beyond.select("root_path", "nested_path", F.lit("warning").alias("tag"), F.lit("expanded_size_limit").alias("code"), F.lit("object is not read").alias("message")))
+        if "warning" in parts:
+            levels.append(beyond.select("root_path", "nested_path", F.lit("warning").alias("tag"), F.lit("expanded_size_limit").alias("code"), F.lit("object is not read").alias("message")))
         frontier = frontier.join(beyond.select("row"), "row", "left_anti").select(*_Object._fields)
-    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels)
+
+
+def localize(objects: DataFrame, limits: Limits = Limits(), disabled: frozenset[str] = frozenset(), parts: Collection[str] = PARTS) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """(records, objects, warnings) of ``objects`` and everything nested in them, to the depth limit.
+
+    Only ``parts`` (record, object, warning) are made, the others are None. Every archive and document that can hold objects is read in any case,
+    as what it holds depends on it; other carriers are read where records or warnings are wanted.
+    """
+    spark, parts, objects = objects.sparkSession, frozenset(parts), objects.select(*_Object._fields)
+    checkpoint_root(spark)
+    small_batches(spark)
+    found = _written(objects.mapInArrow(_expand(limits, disabled, parts, deep=True), FOUND).drop("data"))
+    beyond = found.where("tag = 'spent'").groupBy("root_path").agg(F.sum("size").alias("spent")).where(F.col("spent") > limits.max_expanded_size)
+    beyond = beyond.select(F.col("root_path").alias("beyond"))
+    if not beyond.isEmpty():  # which children these roots may have depends on the order of all: they are taken level by level
+        over = F.col("root_path").eqNullSafe(F.col("beyond"))
+        again = _by_levels(objects.join(beyond, over, "left_semi"), limits, disabled, parts)
+        found = found.join(beyond, over, "left_anti").unionByName(again, allowMissingColumns=True)
     records = found.where("tag = 'record'").withColumns(
         {
             "record_id": record_id(F.col("root_path"), F.col("nested_path"), F.col("location")),
@@ -138,7 +210,8 @@ def localize(objects: DataFrame, limits: Limits = Limits(), disabled: frozenset[
     )
     handlers = F.create_map(*[F.lit(x) for kv in HANDLER_OF.items() for x in kv])
     objects = found.where("tag = 'object'").select("root_path", "nested_path", "name", "depth", "parent_id", "size", F.col("kind").alias("detected_type"), "mime", "structural", F.try_element_at(handlers, F.col("kind")).alias("handler_id"))
-    return records.select(*RECORD), objects, found.where("tag = 'warning'").select("code", F.col("nested_path").alias("path"), "message")
+    warnings = found.where("tag = 'warning'").select("code", F.col("nested_path").alias("path"), "message")
+    return records.select(*RECORD) if "record" in parts else None, objects if "object" in parts else None, warnings if "warning" in parts else None
 
 
 def record_id(root, nested, location):

@@ -353,3 +353,65 @@ def test_ablation_searches_once_and_agrees_with_scans(spark, monkeypatch):
     monkeypatch.setattr(recover, "decode_levels", lambda *a: calls.append(1) or real(*a))
     assert {x.profile: (x.candidates, x.accepted) for x in scan.ablation(r).collect()} == want
     assert len(calls) == 1 and len(set(want.values())) > 2
+
+
+def _carriers(spark, rows):
+    df = spark.createDataFrame([(r, n, bytearray(d)) for r, n, d in rows], "root string, name string, data binary")
+    return localize.from_columns(df, F.col("root"), F.col("name"), F.col("data"))
+
+
+def _jobs(spark, name, run):
+    """Spark jobs that ``run`` starts, and its result."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_archives_are_expanded_in_one_pass(spark):
+    """The number of jobs doesn't grow with the depth, and objects that weren't asked for are neither made nor lost."""
+    rows = [(f"mem://{n}", n, d) for n, d in CARRIERS]
+    (found, objects, warnings), one = _jobs(spark, "expand", lambda: localize.localize(_carriers(spark, rows), parts={"object"}))
+    assert found is None and warnings is None
+    (_, whole, _), _ = _jobs(spark, "whole", lambda: localize.localize(_carriers(spark, rows)))
+    assert sorted(objects.collect()) == sorted(whole.collect()) and objects.count() == 11
+    _, flat = _jobs(spark, "flat", lambda: localize.localize(_carriers(spark, [("mem://a", "a.txt", b"a")]), parts={"object"}))
+    assert one <= flat + 1
+
+
+def test_broken_document_holds_nothing_whatever_is_asked_for(spark):
+    """What a document holds is read after its text, so the text is read for objects alone too."""
+    broken = formats.zipped({"word/document.xml": "<broken", "word/media/note.txt": "note"})
+    got = {p: [x.nested_path for x in localize.localize(_carriers(spark, [("mem://d", "a.docx", broken)]), parts=p)[1].collect()] for p in (("object",), ("object", "record", "warning"))}
+    assert set(map(tuple, got.values())) == {("a.docx",)}
+
+
+def test_expanded_size_of_a_shared_root(spark):
+    """The limit holds for all objects of a root, in order of paths; other roots keep all they hold."""
+    two = [("mem://s", f"{n}.zip", formats.zipped({"a.txt": "x" * 60, "b.txt": ""})) for n in "cab"] + [("mem://o", "o.zip", formats.zipped({"a.txt": "x" * 100}))]
+    deep = [("mem://d", "d.zip", formats.zipped({"a.zip": formats.zipped({"z.txt": "y" * 90}), "b.txt": "x" * 10}))]
+    limits = localize.Limits(max_expanded_size=120)
+    _, objects, warnings = localize.localize(_carriers(spark, two), limits)
+    assert {o.nested_path for o in objects.where("depth = 1").collect()} == {"a.zip!/a.txt", "a.zip!/b.txt", "b.zip!/a.txt", "b.zip!/b.txt", "o.zip!/a.txt"}
+    assert sorted((w.code, w.path) for w in warnings.collect()) == [("expanded_size_limit", f"c.zip!/{m}.txt") for m in "ab"]
+    inner = len(formats.zipped({"z.txt": "y" * 90}))
+    _, objects, warnings = localize.localize(_carriers(spark, deep), localize.Limits(max_expanded_size=inner + 10))
+    assert {o.nested_path for o in objects.collect()} == {"d.zip", "d.zip!/a.zip", "d.zip!/b.txt"}
+    assert [(w.code, w.path) for w in warnings.collect()] == [("expanded_size_limit", "d.zip!/a.zip!/z.txt")]
+
+
+def test_detection_by_shared_parts():
+    """Names, tar files and encodings are judged as by ``mimetypes``, ``tarfile`` and all strict decodings."""
+    import mimetypes
+
+    from lodeseek.functions import encoding
+
+    for n in ("a.txt", "7.txt.gz", "a.tgz", "a.b.c.html", ".json", "..a.txt", "a", "", "d.e/x.json", "a.TXT", "a.svgz", "x:y.html", "data:text/html,x", "http://h/a.css?b=c.js", "a..txt", "a.txt.", "x.tar.bz2"):
+        assert detect.mime_of(n) == (mimetypes.guess_type(n)[0] or "application/octet-stream"), n
+    tar = formats.tar_file(3, "n")
+    opened = detect.tar_of(tar)
+    assert opened is detect.tar_of(tar) and [x.name for x in carriers._tar(tar, "t", localize.Limits()) if isinstance(x, carriers.Child)] == ["docs/a.txt", "table.csv"]
+    assert detect.tar_of(tar) is not opened
+    assert [encoding.infer(d)[0] for d in (b"plain", b"", "caf\xe9".encode(), b"a\0b\0c\0d\0")] == ["utf-8", "utf-8", "utf-8", "utf-16-le"]
+    assert encoding.printable_ratio("a\tb\n") == 1.0 and encoding.printable_ratio("") == 1.0 and encoding.printable_ratio("a\0") == 0.5
