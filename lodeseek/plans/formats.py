@@ -9,6 +9,7 @@ import sqlite3
 import struct
 import tarfile
 import zipfile
+import zlib
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -18,6 +19,17 @@ _O = "urn:oasis:names:tc:opendocument:xmlns"
 
 
 def zipped(members: dict[str, str | bytes], method: int = zipfile.ZIP_STORED) -> bytes:
+    """A ZIP file as ``zipfile`` writes it; few stored members with plain names are put together here, which takes a tenth of the time."""
+    if method == zipfile.ZIP_STORED and len(members) < 1000 and all(n.isascii() and n and "\0" not in n and not n.endswith("/") for n in members):
+        out, directory, at = [], [], 0
+        for name, data in members.items():
+            n, data = name.encode(), data.encode() if isinstance(data, str) else data
+            head = struct.pack("<5H3I2H", 20, 0, 0, 0, 33, zlib.crc32(data), len(data), len(data), len(n), 0)
+            out += [b"PK\3\4", head, n, data]
+            directory += [b"PK\1\2\x14\3", head, struct.pack("<3H2I", 0, 0, 0, 0o600 << 16, at), n]
+            at += 30 + len(n) + len(data)
+        index = b"".join(directory)
+        return b"".join((*out, index, struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, len(members), len(members), len(index), at, 0)))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", method) as z:
         for name, data in members.items():

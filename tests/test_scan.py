@@ -432,3 +432,45 @@ def test_nested_gzip_is_read_at_once(spark):
     _, flat = _jobs(spark, "flat gzip", lambda: localize.localize(_carriers(spark, [("mem://a", "a.txt", b"a")])))
     (_, objects, warnings), deep = _jobs(spark, "deep gzip", lambda: localize.localize(_carriers(spark, [("mem://g", "g.gz", formats.nested_gzip(1, "n"))])))
     assert deep <= flat + 1 and objects.count() == 6 and [w.code for w in warnings.collect()] == ["max_depth"]
+
+
+def test_zip_members_are_cut_out_as_zipfile_reads_them():
+    import io
+    import random
+    import zipfile
+
+    def read(z, m, data, limit, by):
+        try:
+            return by(z, m, data, limit)
+        except Exception as e:
+            return type(e), str(e)
+
+    def plain(z, m, data, limit):
+        with z.open(m) as f:
+            return f.read() if limit is None else f.read(limit)
+
+    members, r = {"a.txt": b"x" * 300, "d/b.bin": bytes(range(256)), "empty": b"", "caf\xe9.txt": b"name"}, random.Random(3)
+    files = [formats.zipped(members, m) for m in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)]
+    ascii_names, out = {k: v for k, v in members.items() if k.isascii()}, io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, v in ascii_names.items():
+            z.writestr(zipfile.ZipInfo(k), v)
+    assert formats.zipped(ascii_names) == out.getvalue()
+    files += [b"before" + f for f in files]
+    for f in list(files):
+        for _ in range(60):
+            g = bytearray(f)
+            for _ in range(r.randrange(1, 4)):
+                g[r.randrange(len(g))] = r.randrange(256)
+            files.append(bytes(g))
+    seen = 0
+    for data in files:
+        try:
+            z = zipfile.ZipFile(io.BytesIO(data))
+        except Exception:
+            continue
+        for m in z.infolist():
+            for limit in (None, 10, 1000):
+                seen += 1
+                assert read(z, m, data, limit, detect.member) == read(z, m, data, limit, plain)
+    assert seen > 2000
